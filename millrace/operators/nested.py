@@ -18,7 +18,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.session import written
+from millrace.session import spread, written
 
 OCCURRENCE = "record_key string, parent_kind string, parent_key string, parent_id binary, child_kind string, ordinal int, child_id binary, child_key string, content string"
 _ARROW = pa.schema([
@@ -149,7 +149,7 @@ def occurrences(records: DataFrame, key: Column, payload: Column, spec: Child, w
                 columns = zip(*part)
                 yield pa.RecordBatch.from_arrays([pa.array([_clean(v) for v in c] if f.type == pa.string() else c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
-    return records.select(key.alias("record_key"), payload.alias("payload")).mapInArrow(shred, OCCURRENCE)
+    return spread(records.select(key.alias("record_key"), payload.alias("payload")), "record_key").mapInArrow(shred, OCCURRENCE)
 
 
 def _clean(value: str | None) -> str | None:

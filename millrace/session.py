@@ -46,3 +46,13 @@ def file_system(spark: SparkSession, path: str):
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in enough partitions for work that is heavy per row, by hash of a unique ``key``.
+
+    Inputs that already split into two tasks a core stay as they are, so large
+    ones are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores, key) if df.rdd.getNumPartitions() < 2 * cores else df

@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.session import spread
+
 #: The published pre-splitting pattern of the 50k byte-level vocabularies (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -170,7 +172,7 @@ def token_ids(documents: DataFrame, key: str, text: str, vocabulary: str) -> Dat
             ids = [encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
-    return documents.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(documents.select(F.col(key), F.col(text)), key).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 _MADE: dict[int, Encoder] = {}

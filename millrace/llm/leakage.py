@@ -18,6 +18,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.session import spread
+
 SPAN, EDITS = 20, 3
 MAX_ITEMS = 200_000  # items to broadcast; more go in blocks
 
@@ -144,7 +146,7 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key:
     items are collected in blocks of MAX_ITEMS, each with its own scan.
     """
     kind, item_kind = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]
-    given = documents.where(F.length(text) > 0).select(F.col(key), F.col(text))
+    given = spread(documents.where(F.length(text) > 0).select(F.col(key), F.col(text)), key)
     total = items.count()
     blocks = max(1, -(-total // MAX_ITEMS))
     out = None

@@ -158,14 +158,18 @@ def same_items(attributes: DataFrame, key: str, threshold: float = 0.5) -> DataF
 
 
 def item_pairs(members: DataFrame, key: str) -> DataFrame:
-    """(a, b), a < b: pairs of one item's listings that don't contradict each other in number, colour or measure."""
+    """(a, b), a < b: pairs of one item's listings that don't contradict each other in number, colour or measure.
+
+    A listing whose colour or measure is unknown pairs by its other fields only
+    if its item has one such value; with several it could be any of them.
+    """
+    only = members.groupBy("item").agg(F.countDistinct("colour").alias("_colours"), F.countDistinct("measure").alias("_measures"), F.count("*").alias("_n")).where(F.col("_n") > 1).drop("_n")
     side = lambda name: members.select("item", F.col(key).alias(name), F.struct(*FIELDS).alias(f"_{name}"))
-    both = side("a").join(side("b"), "item").where(F.col("a") < F.col("b"))
-    agree = F.lit(True)
-    for f in ("code", "colour", "measure"):
-        agree = agree & F.coalesce(F.col(f"_a.{f}") == F.col(f"_b.{f}"), F.lit(True))
-    identified = F.coalesce(F.col("_a.code") == F.col("_b.code"), F.lit(False)) | (F.col("_a.model").isNotNull() & F.col("_b.model").isNotNull())
-    return both.where(agree & identified).select("a", "b").distinct()
+    both = side("a").join(only, "item").join(side("b"), "item").where(F.col("a") < F.col("b"))
+    same = {f: F.col(f"_a.{f}") == F.col(f"_b.{f}") for f in ("code", "colour", "measure")}
+    numbered = F.coalesce(same["code"], F.lit(False))
+    agree = F.coalesce(same["code"], F.lit(True)) & F.coalesce(same["colour"], numbered | (F.col("_colours") < 2)) & F.coalesce(same["measure"], numbered | (F.col("_measures") < 2))
+    return both.where(agree & (numbered | (F.col("_a.model").isNotNull() & F.col("_b.model").isNotNull()))).select("a", "b").distinct()
 
 
 def listing_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,6 @@ COLOURS = {
     "rose": "rosenrosa, rose pink, rosenrød, rosé, rosa, rose, pink",
 }
 _PLURALS = ("ern", "er", "en", "or", "ar", "es", "e", "n", "r", "s", "a")
-_VOWEL_ENDS = re.compile(r"(?:[aeiou]n|[aeiou]r|[aeiou]s|[aeiou])$")
 _ACCENTS = str.maketrans("åäâàáãöøôòóõüûùúéèêëíìîïñçæ", "aaaaaaoooooouuuueeeeiiiinca")
 _MODEL = re.compile(r"(?<![^\W_])((?:[bcdfghjklmnprstvz][aeiou]){2}-?(?:[bcdfghjklmnprstvz][aeiou]){2})(?![^\W_])")
 _MEASURE = re.compile(r"(?<![\w*<>.,])(\d+(?:[.,]\d+)?)\s?(kg/m²|kg/m2|g/m²|g/m2|gsm|mm|cm|ml|cl|dl|m|l|liter|litres?|litre)(?![\w²/])", re.I)
@@ -45,10 +44,11 @@ def stem(word: str) -> str:
     word = plain(word)
     if word.endswith("ies"):
         return word[:-3] + "y"
-    for end in _PLURALS:
-        if word.endswith(end) and len(word) - len(end) >= 3:
-            word = word[: -len(end)]
-            break
+    for _ in range(2):  # once is not enough where a stem ends like a plural
+        for end in _PLURALS:
+            if word.endswith(end) and len(word) - len(end) >= 3:
+                word = word[: -len(end)]
+                break
     return word[:-1] if len(word) > 3 and word[-1] == word[-2] else word
 
 
@@ -100,7 +100,7 @@ class Parser:
         if word not in self.heads:
             if len(self.heads) > 200_000:
                 self.heads.clear()
-            self.heads[word] = next(((len(word) - cut, self.single[word[cut:]]) for cut in range(1, len(word) - 3) if word[cut:] in self.single), None)
+            self.heads[word] = next(((len(word) - cut, self.single[word[cut:]]) for cut in range(1, len(word) - 2) if word[cut:] in self.single), None)
         return self.heads[word]
 
     def parse(self, title: str | None, vendor: str | None, body: str | None, skus: list[str | None] | None) -> Attributes:

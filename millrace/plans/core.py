@@ -82,3 +82,6 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("change") != "changed", F.col("change")).when(differs("input"), "enrichment_stale").when(differs("source"), "source_changed")
     named = complete.select("feed_id", "seq", "run_id")
     return found.withColumn("change", kind).where(F.col("change").isNotNull()).join(named, ["feed_id", "seq"]).select("feed_id", "run_id", "product_id", "change")
+
+
+QUERY_FUNCTIONS = (p1_found, p3_found, p5_found, p7_found)

@@ -141,7 +141,7 @@ def reference_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(product_id, field, value) of each product's vendor and type, exact names left out."""
     both = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("vendor", "product_type")))
-    rows = spark.read.parquet(f"{sf_dir}/product_record.parquet").select("product_id", F.explode(both).alias("v")).select("product_id", "v.field", "v.value").where(F.col("value").rlike(r"[^\s ]"))
+    rows = spark.read.parquet(f"{sf_dir}/product_record.parquet").select("product_id", F.explode(both).alias("v")).select("product_id", "v.field", "v.value").where(F.col("value").rlike(r"[^\s\u00a0]"))
     names = spark.read.parquet(f"{sf_dir}/canon_value.parquet").select(F.col("field_name").alias("field"), F.col("name").alias("value"))
     return rows.join(names, ["field", "value"], "left_anti").distinct()
 

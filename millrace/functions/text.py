@@ -33,7 +33,7 @@ def _unescaped(texts: pd.Series) -> pd.Series:
 
 def unescape(text: Column) -> Column:
     """References of HTML decoded, all 2,231 names and the numeric ones, over Arrow batches."""
-    return F.pandas_udf(_unescaped, "string", F.PandasUDFType.SCALAR)(text)
+    return F.pandas_udf(_unescaped, "string")(text)
 
 
 def strip_tags(text: Column) -> Column:

@@ -59,7 +59,7 @@ def normalize(raw: DataFrame, column: str = "raw") -> DataFrame:
     that a variant lacks is left out of its list. A payload without tags gains
     an empty list. Response times stay in the payload and out of its digest.
     """
-    payload = F.pandas_udf(_payload, "payload string, hash string", F.PandasUDFType.SCALAR)
+    payload = F.pandas_udf(_payload, "payload string, hash string")
     none = F.array()
     rows = raw.select(payload(F.col(column)).alias("p"), F.from_json(column, RAW).alias("r"))
     variants = F.coalesce(F.col("r.variants"), none.cast("array<struct<id:string,title:string,sku:string,available:boolean,price:string,compare_at_price:string,option1:string,option2:string,option3:string>>"))
@@ -91,7 +91,7 @@ def enrichment_input(fields: tuple[str, ...] = ENRICHMENT_FIELDS) -> Column:
 
 def with_enrichment_hash(records: DataFrame) -> DataFrame:
     """``records`` with ``enrichment_input_hash``, the digest of their search fields in canonical JSON."""
-    digest = F.pandas_udf(_digests, "string", F.PandasUDFType.SCALAR)
+    digest = F.pandas_udf(_digests, "string")
     return records.withColumn("enrichment_input_hash", digest(enrichment_input()))
 
 

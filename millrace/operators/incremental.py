@@ -15,7 +15,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.session import file_system
+from millrace.session import read_small, swap
 
 
 class StateConflict(RuntimeError):
@@ -45,14 +45,9 @@ class ProcessingState:
         self.version, self.parts = self._pointer()
 
     def _pointer(self) -> tuple[int, list[str]]:
-        fs, where = file_system(self.spark, f"{self.path}/_CURRENT")
-        if not fs.exists(where):
+        text = read_small(self.spark, f"{self.path}/_CURRENT")
+        if text is None:
             return 0, []
-        stream = fs.open(where)
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
         said = json.loads(text)
         return said["version"], said["parts"]
 
@@ -102,14 +97,5 @@ class ProcessingState:
     def _swap(self, version: int, parts: list[str]) -> None:
         if self._pointer()[0] != self.version:
             raise StateConflict(f"state {self.path} is no longer at version {self.version}")
-        jvm = self.spark._jvm
-        fs, _ = file_system(self.spark, self.path)
-        new, to = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}") for n in (f"_next-{uuid.uuid4().hex}", "_CURRENT"))
-        out = fs.create(new, False)
-        out.write(bytearray(json.dumps({"version": version, "parts": parts}).encode()))
-        out.close()
-        rename = jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(new, to, options)
+        swap(self.spark, f"{self.path}/_CURRENT", json.dumps({"version": version, "parts": parts}))
         self.version, self.parts = version, parts

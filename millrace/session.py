@@ -48,6 +48,40 @@ def file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """Text of one small file, null if there is none."""
+    fs, where = file_system(spark, path)
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_small(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
+    fs, where = file_system(spark, path)
+    out = fs.create(where, overwrite)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def swap(spark: SparkSession, path: str, text: str) -> None:
+    """Makes ``text`` the content of a small file by one atomic rename: readers see the old content or the new."""
+    jvm = spark._jvm
+    part = f"{path}.{uuid.uuid4().hex}"
+    write_small(spark, part, text)
+    fs, source = file_system(spark, part)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    target = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(path))
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(source), target, options)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` in enough partitions for work that is heavy per row, by hash of a unique ``key``.
 

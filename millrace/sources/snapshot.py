@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.operators.catalog import RECORD_FIELDS, STORE, Store
-from millrace.session import file_system
+from millrace.session import file_system, read_small, swap, write_small
 
 SNAPSHOT = """product_id string, handle string, title string, body_html string, vendor string, product_type string, tags array<string>,
 options array<struct<name string, values array<string>>>, variant_ids array<string>, variant_titles array<string>, variant_options array<array<string>>,
@@ -52,26 +52,22 @@ def check_snapshot(spark: SparkSession, path: str, manifest: dict) -> None:
 
 def write_json(spark: SparkSession, path: str, value: object, new: bool = False) -> None:
     """One small JSON file, indented; with ``new`` it must not exist yet."""
-    fs, where = file_system(spark, path)
-    if new and fs.exists(where):
+    if new and read_small(spark, path) is not None:
         raise ArtifactExists(path)
-    out = fs.create(where, not new)
-    try:
-        out.write(bytearray((json.dumps(value, indent=2, ensure_ascii=False, sort_keys=new) + "\n").encode()))
-    finally:
-        out.close()
+    write_small(spark, path, json.dumps(value, indent=2, ensure_ascii=False, sort_keys=new) + "\n", overwrite=not new)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+    if (text := read_small(spark, path)) is None:
+        raise FileNotFoundError(path)
+    return json.loads(text)
 
 
 def open_store(spark: SparkSession, path: str) -> Store:
     """The store whose version the pointer names; an empty one where there is none yet."""
-    fs, pointer = file_system(spark, f"{path}/_CURRENT")
-    if not fs.exists(pointer):
+    version = read_small(spark, f"{path}/_CURRENT")
+    if version is None:
         return Store(*(spark.createDataFrame([], schema) for schema in STORE.values()))
-    version = spark.read.text(f"{path}/_CURRENT").first()[0]
     return Store(*(spark.read.schema(schema).parquet(f"{path}/{version}/{name}") for name, schema in STORE.items()))
 
 
@@ -80,13 +76,5 @@ def save_store(spark: SparkSession, path: str, store: Store) -> str:
     version = f"v-{uuid.uuid4().hex}"
     for name in STORE:
         getattr(store, name).write.mode("errorifexists").parquet(f"{path}/{version}/{name}")
-    jvm = spark._jvm
-    fs, new = file_system(spark, f"{path}/_next-{version}")
-    out = fs.create(new, False)
-    out.write(bytearray(version.encode()))
-    out.close()
-    rename = jvm.org.apache.hadoop.fs.Options.Rename
-    options = spark.sparkContext._gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{path}/_CURRENT")), options)
+    swap(spark, f"{path}/_CURRENT", version)
     return version

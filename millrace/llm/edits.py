@@ -29,4 +29,4 @@ def _batch(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def osa_distance(a: Column | str, b: Column | str) -> Column:
     """INT distance of two columns; null if either is null."""
-    return F.pandas_udf(_batch, "int", F.PandasUDFType.SCALAR)(a, b)
+    return F.pandas_udf(_batch, "int")(a, b)

@@ -136,7 +136,7 @@ def links(signatures: DataFrame, threshold: float = 0.5) -> DataFrame:
     right = blocks.select("block", "_part", F.col("sig").alias("b"), F.struct(*FIELDS).alias("_r"))
     met = left.join(right, ["block", "_part"]).where(F.col("a") < F.col("b"))
     pairs = met.groupBy("a", "b").agg(F.first("_l").alias("_l"), F.first("_r").alias("_r"))
-    compare = F.pandas_udf(_compare, "string", F.PandasUDFType.SCALAR)
+    compare = F.pandas_udf(_compare, "string")
     patterns = written(pairs.select("a", "b", compare("_l", "_r").alias("pattern")), "patterns")
     counts = {r["pattern"]: r["count"] for r in patterns.groupBy("pattern").count().collect()}
     good = [p for p, chance in fit(counts).items() if chance >= threshold and not _conflicts(p)]

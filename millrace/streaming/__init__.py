@@ -1,0 +1 @@
+"""The incremental operators hosted in Structured Streaming."""

@@ -31,6 +31,9 @@ def utc_text(col: Column) -> Column:
 
 def clean_hash(col: Column | str) -> Column:
     """The 64 lower-case hexadecimal digits of a SHA-256, however spelled; null if there are none."""
-    text = F.lower(F.col(col) if isinstance(col, str) else col)
-    digits = F.regexp_replace(F.regexp_replace(text, r"^\s*(sha-?256|0x)\s*[:=]?", ""), "[^0-9a-f]", "")
-    return F.when(F.length(digits) == 64, digits)
+    text = F.lower(F.trim(F.col(col) if isinstance(col, str) else col))
+    # nearly all are spelled plainly, perhaps behind a prefix; only the rest is taken apart
+    last = F.right(text, F.lit(64))
+    digits = F.regexp_replace(F.regexp_replace(text, r"^(sha-?256|0x)\s*[:=]?", ""), "[^0-9a-f]", "")
+    plain = (F.length(text) == 64) | F.startswith(text, F.lit("sha256:"))
+    return F.when(plain & last.rlike("^[0-9a-f]{64}$"), last).otherwise(F.when(F.length(digits) == 64, digits))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from millrace.functions.times import clean_hash, parse_time, utc_text
 from millrace.operators import history, incremental, nested, snapshot_diff
-from millrace.session import shared_dir, table
+from millrace.session import shared_dir, table, written
 
 
 def latest_state(state: DataFrame) -> DataFrame:
@@ -60,28 +60,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products that each complete snapshot of a feed added, removed or changed."""
+    hashes = {"source": "source_payload_hash", "input": "enrichment_input_hash"}
     entries = table(spark, sf_dir, "snapshot_entry").where(F.col("run_id").isNotNull() & F.col("product_id").isNotNull())
-    entries = entries.select("run_id", "product_id", clean_hash("source_payload_hash").alias("source"), clean_hash("enrichment_input_hash").alias("input"))
-    entries = entries.groupBy("run_id", "product_id").agg(F.max("source").alias("source"), F.max("input").alias("input"))
+    entries = entries.select("run_id", "product_id", *(snapshot_diff.fingerprint(clean_hash(h)).alias(c) for c, h in hashes.items()))
+    entries = written(entries.groupBy("run_id", "product_id").agg(*(F.max(c).alias(c) for c in hashes)), "entries")
     crawls = table(spark, sf_dir, "manifest").where(F.col("run_id").isNotNull()).groupBy("run_id").agg(
         F.max("feed_id").alias("feed_id"), F.max("product_count").alias("product_count"), F.max(parse_time("crawled_at")).alias("crawled_at")
     )
     held = entries.groupBy("run_id").agg(F.count("*").alias("n"))
     complete = crawls.join(held, "run_id", "left").where(F.coalesce("n", F.lit(0)) == F.col("product_count"))
     complete = complete.withColumn("seq", F.row_number().over(Window.partitionBy("feed_id").orderBy("crawled_at", "run_id")))
-    complete = complete.select("run_id", "feed_id", "seq", "product_count")
+    complete = written(complete.select("run_id", "feed_id", "seq", "product_count"), "snapshots")
     depth = snapshot_diff.leaf_depth(complete.agg(F.max("product_count")).first()[0] or 0)
-    rows = entries.join(complete.drop("product_count"), "run_id")
-    rows = snapshot_diff.carry_forward(rows, "feed_id", "seq", "product_id", ["source", "input"])
+    rows = snapshot_diff.carry_forward(entries.join(complete.drop("product_count"), "run_id"), "feed_id", "seq", "product_id", list(hashes))
     pairs = complete.where(F.col("seq") > 1).select("feed_id", (F.col("seq") - 1).alias("before"), F.col("seq").alias("after"))
-    found = snapshot_diff.snapshot_changes(rows, "feed_id", "seq", "product_id", ["source", "input"], depth, pairs)
-
-    def differs(c: str):
-        return F.coalesce(F.col(f"before.{c}") != F.col(f"after.{c}"), F.lit(False))
-
-    kind = F.when(F.col("change") != "changed", F.col("change")).when(differs("input"), "enrichment_stale").when(differs("source"), "source_changed")
-    named = complete.select("feed_id", "seq", "run_id")
-    return found.withColumn("change", kind).where(F.col("change").isNotNull()).join(named, ["feed_id", "seq"]).select("feed_id", "run_id", "product_id", "change")
+    found = snapshot_diff.snapshot_changes(rows, "feed_id", "seq", "product_id", list(hashes), depth, pairs, nulls_differ=False, unique=True)
+    kind = F.when(F.col("change") != "changed", F.col("change")).when(F.array_contains("differing", "input"), "enrichment_stale").otherwise("source_changed")
+    return found.withColumn("change", kind).join(complete.select("feed_id", "seq", "run_id"), ["feed_id", "seq"]).select("feed_id", "run_id", "product_id", "change")
 
 
 QUERY_FUNCTIONS = (p1_found, p3_found, p5_found, p7_found)

@@ -44,7 +44,7 @@ def test_any_depth_matches_brute_force(spark, depth):
 
 def test_only_differing_leaves_are_opened(spark):
     given = [("f", s, f"k{k}", "1", "same" if k or s == 1 else "other") for s in (1, 2) for k in range(200)]
-    rows_ = entries(spark, *given).select("feed", "seq", F.col("key").alias("_key"), F.struct("a", "b").alias("_values"), F.shiftrightunsigned(F.xxhash64("key"), 64 - 6).alias("_leaf"))
+    rows_ = entries(spark, *given).select("feed", "seq", F.xxhash64("key", "a", "b").alias("_row"), F.shiftrightunsigned(F.xxhash64("key"), 64 - 6).alias("_leaf"))
     pairs = spark.createDataFrame([("f", 1, 2)], "feed string, before int, after int")
     assert sd.differing_leaves(rows_, pairs, "feed", "seq", 6).count() == 1
 
@@ -66,6 +66,13 @@ def test_nulls_carry_the_last_known_value(spark):
     assert rows(out) == sorted([("f", 1, "x", "1", None), ("f", 2, "x", "1", "7"), ("f", 3, "x", "1", "7"), ("f", 1, "y", "1", "1"), ("g", 1, "x", None, "1")], key=lambda r: tuple((x is not None, str(x)) for x in r))
 
 
+def test_which_values_differ_and_what_nulls_say(spark):
+    df = entries(spark, ("f", 1, "x", "1", None), ("f", 2, "x", "2", "1"), ("f", 1, "y", "1", None), ("f", 2, "y", "1", "1"))
+    differing = lambda **how: {r["key"]: r["differing"] for r in sd.snapshot_changes(df, "feed", "seq", "key", ["a", "b"], 2, **how).collect()}
+    assert differing() == {"x": ["a", "b"], "y": ["b"]}
+    assert differing(nulls_differ=False, unique=True) == {"x": ["a"]}
+
+
 def test_depth_follows_size():
-    assert sd.leaf_depth(0) == sd.leaf_depth(16) == 0
-    assert sd.leaf_depth(17) == 1 and sd.leaf_depth(1600) == 7 and sd.leaf_depth(10**12) == 24
+    assert sd.leaf_depth(0) == sd.leaf_depth(8) == 0
+    assert sd.leaf_depth(9) == 1 and sd.leaf_depth(800) == 7 and sd.leaf_depth(10**12) == 24

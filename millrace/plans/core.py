@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from millrace.functions.times import clean_hash, parse_time, utc_text
 from millrace.operators import history, incremental, nested, snapshot_diff
-from millrace.session import shared_dir, table, written
+from millrace.session import table, work_dir, written
 
 
 def latest_state(state: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = F.to_json(F.try_parse_json(F.trim("result")))
     cache = table(spark, sf_dir, "enrichment_cache").where(F.lower(F.trim("status")) == "completed").where(result.isNotNull() & ~result.isin("null", "{}", "[]", '""'))
     done = cache.withColumn("run_id", F.trim("run_id")).join(runs, "run_id", "left_semi").select(clean_hash("enrichment_input_hash").alias("hash"))
-    state = incremental.ProcessingState(spark, f"{shared_dir(spark)}/millrace/enrichment-{uuid.uuid4().hex}")
+    state = incremental.ProcessingState(spark, f"{work_dir(spark)}/enrichment-{uuid.uuid4().hex}")
     state.commit(done.where(F.col("hash").isNotNull()).select(F.col("hash").alias("key"), incremental.content_hash(["hash"]).alias("content_hash")))
     asked = table(spark, sf_dir, "product_enrichment").select(clean_hash("enrichment_input_hash").alias("hash"))
     return state.changes(asked, F.col("hash"), ["hash"]).select(F.col("key").alias("enrichment_input_hash"))

@@ -68,3 +68,33 @@ SELECT feed_id, run_id, product_id, change FROM named WHERE change IS NOT NULL
 """
 
 SQL = {"p1_found": P1, "p5_found": P5, "p7_found": P7}
+
+
+def _elements(x: str) -> str:
+    """The elements of a JSON list however it is wrapped, as a list of JSON."""
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN {x}->'$[*]' WHEN 'OBJECT' THEN CASE WHEN json_type({x}->'edges') = 'ARRAY' THEN {x}->'$.edges[*].node' ELSE [{x}] END ELSE [] END"
+
+
+def _opened(x: str) -> str:
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' THEN TRY_CAST({x}->>'$' AS JSON) ELSE {x} END"
+
+
+_DIGITS = r"list_last(regexp_extract_all({0}, '\d+'))"
+P3 = f"""
+WITH payloads AS (
+  SELECT product_id, CASE WHEN source_payload IS NULL THEN to_json({{'variants': variants, 'options': options, 'images': images}}) WHEN json_valid(source_payload) THEN CAST(source_payload AS JSON) END AS p FROM product_record),
+records AS (SELECT product_id, CASE WHEN json_type(p->'product') = 'OBJECT' THEN p->'product' WHEN json_type(p->'products') = 'ARRAY' THEN p->'$.products[0]' ELSE p END AS r FROM payloads),
+fields AS (SELECT product_id, {_opened("r->'variants'")} AS v, {_opened("r->'options'")} AS o, {_opened("r->'images'")} AS i FROM records),
+variants AS (SELECT product_id, {_DIGITS.format("v->>'id'")} AS id, v->'inventory' AS inv FROM (SELECT product_id, unnest({_elements('v')}) AS v FROM fields)),
+options AS (SELECT product_id, o->>'name' AS name, o->'values' AS vals FROM (SELECT product_id, unnest({_elements('o')}) AS o FROM fields)),
+images AS (SELECT product_id, i->>'src' AS src, i->'variant_ids' AS ids FROM (SELECT product_id, unnest({_elements('i')}) AS i FROM fields)),
+found AS (
+  SELECT product_id, 'variant' AS child_kind, product_id AS parent_key, id AS child_key FROM variants
+  UNION ALL SELECT product_id, 'option', product_id, name FROM options
+  UNION ALL SELECT product_id, 'option_value', name, CASE WHEN json_type(x) = 'OBJECT' THEN x->>'label' ELSE x->>'$' END FROM (SELECT product_id, name, unnest({_elements('vals')}) AS x FROM options)
+  UNION ALL SELECT product_id, 'image', product_id, src FROM images
+  UNION ALL SELECT product_id, 'image_variant', src, {_DIGITS.format("x->>'$'")} FROM (SELECT product_id, src, unnest({_elements('ids')}) AS x FROM images)
+  UNION ALL SELECT product_id, 'level', id, unnest(CASE WHEN json_type(inv->'levels') = 'ARRAY' THEN inv->>'$.levels[*].location' WHEN json_type(inv) = 'OBJECT' THEN json_keys(inv) ELSE [] END) FROM variants)
+SELECT DISTINCT product_id, child_kind, parent_key, child_key FROM found WHERE product_id IS NOT NULL AND parent_key IS NOT NULL AND child_key IS NOT NULL
+"""
+SQL["p3_found"] = P3

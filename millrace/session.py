@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     Only a session that names none, as in tests on one machine, gets a local one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and (set_ := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        named = set_.get()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -26,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file:///tmp/millrace-{os.getuid()}"
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application wrote to the shared folder; DataFrames that read it can't be used any more."""
+    fs, where = file_system(spark, work_dir(spark))
+    fs.delete(where, True)
+
+
 def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage is cut, and a lost executor costs no rework.
 
@@ -33,7 +46,7 @@ def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataF
     they have no single home.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.llm.edits import osa_distance
+from millrace.session import written
 
 #: Words around a value that say nothing of it: legal forms, trade words, shop sections (fixed values, in folded spelling).
 NOISE = {
@@ -90,7 +91,7 @@ def canonical(values: DataFrame, reference: DataFrame, noise: dict[str, tuple[st
     two. If the best entries of two ids are equally good, the value means
     neither. Null and blank values mean none; repeats count once.
     """
-    values = values.select("field", "value").where(F.col("value").isNotNull()).distinct()
+    values = written(values.select("field", "value").where(F.col("value").isNotNull()).distinct(), "values")
     entries = forms(reference.select("field", F.col("name").alias("value")).distinct(), noise).where(F.col("form").isin("words", "whole"))
     # a compound may be typed with its "and": both spellings of the whole
     joined = reference.where(F.col("name").rlike(r"\s(&|och|and|og|und)\s")).select("field", F.col("name").alias("value"), F.lit("whole").alias("form"), F.array(F.regexp_replace(folded(F.regexp_replace("name", r"\s+&\s+", "och")), "[^a-z0-9]+", "")).alias("words"))
@@ -101,9 +102,9 @@ def canonical(values: DataFrame, reference: DataFrame, noise: dict[str, tuple[st
     single = single.join(weight, ["field", "form", "meant"])
     norm = single.groupBy("entry").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("entry_norm"))
     ids = reference.select("field", "canon_id", F.col("name").alias("_name")).distinct()
-    single = single.join(norm, "entry").join(ids, (single["field"] == ids["field"]) & (single["value"] == ids["_name"])).select(single["field"], "form", "entry", "meant", "entry_words", "entry_letters", "idf", "entry_norm", "canon_id")
+    single = written(single.join(norm, "entry").join(ids, (single["field"] == ids["field"]) & (single["value"] == ids["_name"])).select(single["field"], "form", "entry", "meant", "entry_words", "entry_letters", "idf", "entry_norm", "canon_id"), "entries")
 
-    typed = forms(values, noise)
+    typed = written(forms(values, noise), "forms")
     spelled = typed.select("field", "value", F.col("form").alias("typed_form"), F.when(F.col("form").startswith("part") | (F.col("form") == "plain"), "words").otherwise(F.col("form")).alias("form"), F.size(F.array_distinct("words")).alias("value_words"), F.explode(F.array_distinct("words")).alias("token"))
     repairs = repaired(spelled.select("field", "token").distinct(), single.select("field", F.col("meant").alias("token")).distinct())
     met = spelled.join(repairs, ["field", "token"]).join(single, ["field", "form", "meant"])

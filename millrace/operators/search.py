@@ -18,6 +18,8 @@ from millrace.session import written
 WEIGHTS = {"title": 5.0, "vendor": 4.0, "product_type": 3.0, "tags": 2.0, "body": 1.0}
 K1, B = 1.2, 0.75
 
+PUSHED = 1_000  # distinct terms that a search sends to the scan as a filter
+
 
 def fielded(records: DataFrame, decode_body: bool = True) -> DataFrame:
     """(doc_id, title, vendor, product_type, tags, body) of catalog records; tags joined by a space, the body without tags, nulls empty."""
@@ -39,8 +41,13 @@ class Index:
     compound: bool
 
     def kept(self) -> "Index":
-        """This index written to the shared folder, for several searches."""
-        return Index(written(self.postings, "postings"), written(self.stats, "stats"), self.compound)
+        """This index written to the shared folder, for several searches.
+
+        Postings lie in order of their terms, so a search reads only the row
+        groups of the terms it asks for; a frequent term spans several files.
+        """
+        ordered = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        return Index(written(ordered, "postings"), written(self.stats, "stats"), self.compound)
 
     def document_frequency(self) -> DataFrame:
         """(field, term, df)."""
@@ -81,7 +88,9 @@ def search(index: Index, terms: DataFrame, k: int = 20, k1: float = K1, b: float
     without terms and documents without matches give no rows.
     """
     asked = terms.select("term").distinct()
-    found = index.postings.join(asked, "term", "left_semi")
+    few = [r["term"] for r in asked.limit(PUSHED + 1).collect()]
+    # a bounded list is a filter that the scan can use; more terms are a join
+    found = index.postings.where(F.col("term").isin(few)) if len(few) <= PUSHED else index.postings.join(asked, "term", "left_semi")
     df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
     scored = found.join(df, ["field", "term"]).join(index.stats, "field")
     average = F.coalesce(F.nullif(F.col("avgdl"), F.lit(0.0)), F.lit(1.0))

@@ -113,3 +113,12 @@ def test_expansion_order_and_guard(spark):
     assert book.describe()["vendor_fuzzy"]["vendor_tokens"] == 2
     with pytest.raises(ValueError):
         book.terms(ask(spark, "x"), search.build_index(given))
+
+
+def test_kept_indexes_are_read_by_term_and_many_terms_join(spark, monkeypatch):
+    index = search.build_index(docs(spark, *((str(i), {"title": f"x w{i}"}) for i in range(30)))).kept()
+    terms = search.query_terms(ask(spark, "w3 w4"))
+    found = search.search(index, terms)
+    assert "In(term" in found._jdf.queryExecution().toString() and sorted(r["doc_id"] for r in found.collect()) == ["3", "4"]
+    monkeypatch.setattr(search, "PUSHED", 1)
+    assert rows(search.search(index, terms)) == rows(found)

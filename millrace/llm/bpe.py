@@ -16,8 +16,10 @@ transitions are asked for.
 from __future__ import annotations
 
 import base64
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -138,21 +140,28 @@ class Encoder:
 
     def __init__(self, automaton: TokenAutomaton, pattern: str = PATTERN, remember: int = 300_000):
         self.automaton, self.split, self.remember = automaton, regex.compile(pattern).findall, remember
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers, ready to be joined
+
+    def _word(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = array("i", self.automaton.encode(word.encode("utf-8"))).tobytes()
+            if len(self.known) >= self.remember:
+                self.known.clear()
+            if len(word) <= 64:
+                self.known[word] = ids
+        return ids
+
+    def packed(self, text: str | None) -> bytes:
+        """The ids of a text as consecutive 32-bit integers."""
+        words = self.split(text) if text else ()
+        try:
+            return b"".join([self.known[w] for w in words])
+        except KeyError:
+            return b"".join([self._word(w) for w in words])
 
     def __call__(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        for word in self.split(text) if text else ():
-            ids = known.get(word)
-            if ids is None:
-                ids = self.automaton.encode(word.encode("utf-8"))
-                if len(known) >= self.remember:
-                    known.clear()
-                if len(word) <= 64:
-                    known[word] = ids
-            out += ids
-        return out
+        return array("i", self.packed(text)).tolist()
 
 
 def token_ids(documents: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
@@ -169,8 +178,11 @@ def token_ids(documents: DataFrame, key: str, text: str, vocabulary: str) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder_of(sent.value)
         for batch in batches:
-            ids = [encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
+            packed = [encode.packed(t) for t in batch.column(1).to_pylist()]
+            ends = pa.array([0, *accumulate(len(p) // 4 for p in packed)], pa.int32())
+            data = b"".join(packed)
+            ids = pa.Array.from_buffers(pa.int32(), len(data) // 4, [None, pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, ids)], names=[key, "ids"])
 
     return spread(documents.select(F.col(key), F.col(text)), key).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 

@@ -34,26 +34,38 @@ def fielded(records: DataFrame, decode_body: bool = True) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """``postings`` (doc_id, field, term, tf, dl), ``stats`` (field, n, avgdl, weight)."""
+    """``postings`` (doc_id, field, term, tf, dl), ``stats`` (field, n, avgdl, weight), both made of ``analysed`` (doc_id, field, tokens)."""
 
     postings: DataFrame
     stats: DataFrame
+    analysed: DataFrame
     compound: bool
+    weights: dict[str, float]
 
     def kept(self) -> "Index":
         """This index written to the shared folder, for several searches.
 
-        Postings lie in order of their terms, so a search reads only the row
-        groups of the terms it asks for; a frequent term spans several files.
+        Texts are analysed once. Postings lie in order of their terms, so a
+        search reads only the row groups of the terms it asks for; a frequent
+        term spans several files.
         """
-        ordered = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        return Index(written(ordered, "postings"), written(self.stats, "stats"), self.compound)
+        once = _index(written(self.analysed, "analysed"), self.compound, self.weights)
+        ordered = once.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        return Index(written(ordered, "postings"), written(once.stats, "stats"), once.analysed, self.compound, self.weights)
 
     def document_frequency(self) -> DataFrame:
         """(field, term, df)."""
         return self.postings.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
+def _index(analysed: DataFrame, compound: bool, weights: dict[str, float]) -> Index:
+    long = analysed.withColumn("dl", F.size("tokens"))
+    postings = long.select("doc_id", "field", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "field", "term", "dl").agg(F.count("*").alias("tf"))
+    weight = F.coalesce(*(F.when(F.col("field") == f, F.lit(float(w))) for f, w in weights.items()))
+    stats = long.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("_sum")).select("field", "n", (F.col("_sum") / F.col("n")).alias("avgdl"), weight.alias("weight"))
+    return Index(postings, stats, analysed, compound, weights)
+
+
 def build_index(docs: DataFrame, compound: bool = False, weights: dict[str, float] | None = None) -> Index:
     """Index of ``docs``: doc_id and a text column for each field of ``weights``.
 
@@ -61,12 +73,10 @@ def build_index(docs: DataFrame, compound: bool = False, weights: dict[str, floa
     in the average. Documents are told apart by doc_id, which must be unique.
     """
     weights = weights or WEIGHTS
-    listed = F.array(*(F.struct(F.lit(f).alias("field"), text.field_tokens(F.col(f), compound).alias("tokens")) for f in weights))
-    long = docs.select("doc_id", F.explode(listed).alias("f")).select("doc_id", "f.field", "f.tokens", F.size("f.tokens").alias("dl"))
-    postings = long.select("doc_id", "field", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "field", "term", "dl").agg(F.count("*").alias("tf"))
-    weight = F.coalesce(*(F.when(F.col("field") == f, F.lit(float(w))) for f, w in weights.items()))
-    stats = long.groupBy("field").agg(F.count("*").alias("n"), F.sum("dl").alias("_sum")).select("field", "n", (F.col("_sum") / F.col("n")).alias("avgdl"), weight.alias("weight"))
-    return Index(postings, stats, compound)
+    # fields become rows first, so that the analysis is one expression and not one a field
+    listed = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in weights))
+    fields = docs.select("doc_id", F.explode(listed).alias("f")).select("doc_id", "f.field", "f.text")
+    return _index(fields.select("doc_id", "field", text.field_tokens(F.col("text"), compound).alias("tokens")), compound, weights)
 
 
 def query_terms(queries: DataFrame, compound: bool = False) -> DataFrame:

@@ -32,6 +32,33 @@ def canonical_json(value: object) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
+def raw_fault(product: object) -> str | None:
+    """What keeps a decoded JSON value from being a raw product, null if nothing does."""
+    if not (isinstance(product, dict) and "id" in product):
+        return "a product is no object with an id"
+    for name in ("variants", "options", "images"):
+        inner = product.get(name)
+        if inner is not None and not (isinstance(inner, list) and all(isinstance(x, dict) for x in inner)):
+            return f"product {product['id']}: {name} is no list of objects"
+    return None
+
+
+def _is_raw(text: str | None) -> bool:
+    try:
+        return text is not None and raw_fault(json.loads(text)) is None
+    except (ValueError, RecursionError):
+        return False
+
+
+def _are_raw(texts: pd.Series) -> pd.Series:
+    return pd.Series([_is_raw(t) for t in texts], dtype=bool)
+
+
+def is_raw_product(text: Column) -> Column:
+    """Whether a JSON text is a raw product as a crawl accepts it; false for null."""
+    return F.pandas_udf(_are_raw, "boolean")(text)
+
+
 def _payload(texts: pd.Series) -> pd.DataFrame:
     """By raw product: its payload with tags in order, and the digest without response times."""
     payloads, digests = [], []

@@ -96,9 +96,8 @@ def pending_jobs(spark, sf_dir):
 
 
 def canonical_json_hash(spark, sf_dir):
-    """Records normalised from their raw payloads, with both digests in canonical JSON."""
-    raw = table(spark, sf_dir, "product_record").where(F.schema_of_variant(F.try_parse_json("source_payload")).startswith("OBJECT") & F.get_json_object("source_payload", "$.variants[*].id").isNotNull() & F.get_json_object("source_payload", "$.body_html").isNotNull())
-    usable = raw.where(F.get_json_object("source_payload", "$.variants").startswith("[") & (F.coalesce(F.get_json_object("source_payload", "$.options"), F.lit("[")).startswith("[")) & (F.coalesce(F.get_json_object("source_payload", "$.images"), F.lit("[")).startswith("[")))
+    """Records normalised from every payload that a crawl accepts as a raw product, with both digests in canonical JSON."""
+    usable = table(spark, sf_dir, "product_record").where(c.is_raw_product(F.col("source_payload")))
     return c.with_enrichment_hash(c.normalize(usable, "source_payload")).select("product_id", "source_payload_hash", "enrichment_input_hash").distinct()
 
 

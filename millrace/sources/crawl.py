@@ -23,12 +23,8 @@ def decode_products(body: bytes) -> list[dict]:
     if not isinstance(products, list):
         raise InconsistentCrawl("a page has no list of products")
     for p in products:
-        if not (isinstance(p, dict) and "id" in p):
-            raise InconsistentCrawl("a product is no object with an id")
-        for name in ("variants", "options", "images"):
-            inner = p.get(name)
-            if inner is not None and not (isinstance(inner, list) and all(isinstance(x, dict) for x in inner)):
-                raise InconsistentCrawl(f"product {p['id']}: {name} is no list of objects")
+        if fault := catalog.raw_fault(p):
+            raise InconsistentCrawl(fault)
     return products
 
 

@@ -111,3 +111,26 @@ def test_queue(spark, empty):
     for bad in ("e1", "e0"):
         with pytest.raises(KeyError):
             c.complete_enrichment(done, bad, {}, "", "t3")
+
+
+def test_every_payload_a_crawl_accepts_has_its_digests(spark, tmp_path):
+    import hashlib
+
+    from millrace.plans.sync import canonical_json_hash
+    from millrace.sources import crawl as source
+
+    digest = lambda x: hashlib.sha256(c.canonical_json(x).encode()).hexdigest()
+    bare = {"body_html": "", "options": [], "product_type": "", "tags": [], "title": "", "variant_titles": [], "vendor": ""}
+    good = [
+        ({"id": 1, "variants": None, "body_html": "b"}, bare | {"body_html": "b"}), ({"id": 2, "body_html": "b"}, bare | {"body_html": "b"}), ({"id": 3, "variants": [], "body_html": "b"}, bare | {"body_html": "b"}),
+        ({"id": 4, "variants": [{"id": 41, "title": "M"}], "body_html": None}, bare | {"variant_titles": ["M"]}), ({"id": "5", "variants": [{"title": "L"}]}, bare | {"variant_titles": ["L"]}), ({"id": 6, "options": None, "images": []}, bare),
+    ]
+    bad = [{"variants": [{"id": 1}], "body_html": "b"}, *({"id": 7, "body_html": "b", "variants": [{"id": 1}]} | x for x in ({"variants": {"id": 1}}, {"options": '[{"name": "S"}]'}, {"images": "[]"}, {"images": [{"src": "s"}, "t"]}, {"options": [None]}))]
+    texts = [*(json.dumps(r) for r, _ in good), *map(json.dumps, bad), '{"id": 8', '[{"id": 9}]', '"x"', "", None]
+    spark.createDataFrame([(t,) for t in texts], "source_payload string").write.parquet(str(tmp_path / "product_record.parquet"))
+    assert rows(canonical_json_hash(spark, str(tmp_path))) == sorted((str(r["id"]), digest(r | {"tags": []}), digest(e)) for r, e in good)
+    for r, _ in good:
+        assert source.decode_products(json.dumps({"products": [r]}).encode()) == [r]
+    for r in bad:
+        with pytest.raises(c.InconsistentCrawl):
+            source.decode_products(json.dumps({"products": [r]}).encode())

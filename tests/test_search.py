@@ -122,3 +122,13 @@ def test_kept_indexes_are_read_by_term_and_many_terms_join(spark, monkeypatch):
     assert "In(term" in found._jdf.queryExecution().toString() and sorted(r["doc_id"] for r in found.collect()) == ["3", "4"]
     monkeypatch.setattr(search, "PUSHED", 1)
     assert rows(search.search(index, terms)) == rows(found)
+
+
+def test_vendor_corrections_take_tokens_with_letters_beyond_ascii(spark, tmp_path):
+    from millrace.plans.search import vendor_fuzzy_unique
+
+    given = [("klänning malmen ösjö", "Lynning"), ("grönbrgs malman", "Malman Malmén"), ("vinter", "Grönbergs Ösja")]
+    schema = "product_id string, crawled_at timestamp, handle string, title string, body_html string, vendor string, product_type string, tags array<string>, available array<boolean>, prices array<string>"
+    spark.createDataFrame([(str(i), None, None, t, None, v, None, None, None, None) for i, (t, v) in enumerate(given)], schema).write.parquet(str(tmp_path / "product_record.parquet"))
+    # 'malmen' ties between two vendors, 'ösjö' has four letters in six bytes
+    assert rows(vendor_fuzzy_unique(spark, str(tmp_path))) == [("grönbrgs", "grönbergs"), ("klänning", "lynning")]

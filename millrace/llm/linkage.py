@@ -27,7 +27,9 @@ WIDE = 200  # signatures of a block beyond which it is split by measure
 
 
 def parsed(records: DataFrame, key: str, title: str, vendor: str, body: str, skus: str, kinds: list[tuple[int, str]]) -> DataFrame:
-    """(key, code, model, kind, colour, measure, maker), one row per key; unknown attributes are null.
+    """(key, code, model, kind, colour, measure, maker, spellings), one row per key; unknown attributes are null.
+
+    ``spellings`` is what may be the model's name where ``model`` is null.
 
     ``kinds`` is the reference list of kinds of goods, of fixed size. Of rows
     with one key the one that tells most counts. Rows without a key are left out.
@@ -38,13 +40,41 @@ def parsed(records: DataFrame, key: str, title: str, vendor: str, body: str, sku
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(kinds)
         for batch in batches:
-            found = [parser.parse(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)))]
+            texts = list(zip(*(batch.column(i).to_pylist() for i in range(1, 5))))
+            found = [parser.parse(*row) for row in texts]
+            spelled = [parser.spellings(*row[:2]) if a.model is None else None for row, a in zip(texts, found)]
             columns = list(zip(*found)) or [[]] * len(FIELDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64() if f == "kind" else pa.string()) for f, c in zip(FIELDS, columns))], names=[key, *FIELDS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64() if f == "kind" else pa.string()) for f, c in zip(FIELDS, columns)), pa.array(spelled, pa.list_(pa.string()))], names=[key, *FIELDS, "spellings"])
 
-    rows = given.mapInArrow(run, f"`{key}` {type_}, code string, model string, kind long, colour string, measure string, maker string")
+    rows = given.mapInArrow(run, f"`{key}` {type_}, code string, model string, kind long, colour string, measure string, maker string, spellings array<string>")
     known = sum((F.col(f).isNotNull().cast("int") for f in FIELDS), F.lit(0))
-    return rows.groupBy(key).agg(F.max_by(F.struct(*FIELDS), F.struct(known.alias("known"), *FIELDS)).alias("_a")).select(key, "_a.*")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*FIELDS, "spellings"), F.struct(known.alias("known"), *FIELDS, "spellings")).alias("_a")).select(key, "_a.*")
+
+
+def _osa(values: pd.Series, others: pd.Series) -> pd.Series:
+    return pd.Series([osa(a, b) for a, b in zip(values, others)], dtype="int32")
+
+
+def repaired(attributes: DataFrame, key: str) -> DataFrame:
+    """``attributes`` of ``parsed`` without ``spellings``: an unknown model is the one parsed elsewhere that a spelling is nearest to.
+
+    A spelling counts within one edit, a swap of neighbours being one; equal
+    forms with up to one letter deleted find every candidate. Models that tie
+    leave it unknown.
+    """
+    def forms(word: str) -> Column:
+        c = F.col(word)
+        shorter = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+        return F.explode(F.array_union(F.array(c), shorter)).alias("_form")
+
+    models = attributes.where(F.col("model").isNotNull()).select(F.col("model").alias("_m")).distinct()
+    asked = attributes.where(F.col("model").isNull()).select(F.explode("spellings").alias("_s")).distinct()
+    met = asked.select("_s", forms("_s")).join(models.select("_m", forms("_m")), "_form").select("_s", "_m").distinct()
+    near = met.withColumn("_d", F.pandas_udf(_osa, "int")("_s", "_m")).where(F.col("_d") <= 1)
+    each = attributes.where(F.col("model").isNull()).select(key, F.explode("spellings").alias("_s")).join(near, "_s")
+    at = each.groupBy(key, "_d").agg(F.min("_m").alias("_m"), (F.min("_m") == F.max("_m")).alias("_one"))
+    best = at.groupBy(key).agg(F.min_by(F.struct("_m", "_one"), "_d").alias("_b")).where("_b._one").select(key, F.col("_b._m").alias("_m"))
+    return attributes.join(best, key, "left").withColumn("model", F.coalesce("model", "_m")).drop("_m", "spellings")
 
 
 def _blocks(signatures: DataFrame) -> DataFrame:
@@ -176,7 +206,8 @@ def listing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listings of product_record with their item."""
     kinds = [(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/canon_value.parquet").where(F.col("field_name") == "product_type").select("canon_id", F.explode(F.concat(F.array("name"), F.coalesce("alt_names", F.array().cast("array<string>"))))).collect()]
     records = spark.read.parquet(f"{sf_dir}/product_record.parquet")
-    return same_items(parsed(records, "product_id", "title", "vendor", "body_html", "skus", kinds), "product_id")
+    attributes = written(parsed(records, "product_id", "title", "vendor", "body_html", "skus", kinds), "attributes")
+    return same_items(repaired(attributes, "product_id"), "product_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ COLOURS = {
 _PLURALS = ("ern", "er", "en", "or", "ar", "es", "e", "n", "r", "s", "a")
 _ACCENTS = str.maketrans("åäâàáãöøôòóõüûùúéèêëíìîïñçæ", "aaaaaaoooooouuuueeeeiiiinca")
 _MODEL = re.compile(r"(?<![^\W_])((?:[bcdfghjklmnprstvz][aeiou]){2}-?(?:[bcdfghjklmnprstvz][aeiou]){2})(?![^\W_])")
+MODEL_LETTERS = 8
 _MEASURE = re.compile(r"(?<![\w*<>.,])(\d+(?:[.,]\d+)?)\s?(kg/m²|kg/m2|g/m²|g/m2|gsm|mm|cm|ml|cl|dl|m|l|liter|litres?|litre)(?![\w²/])", re.I)
 _UNITS = {"kg/m²": ("w", 1000), "kg/m2": ("w", 1000), "g/m²": ("w", 1), "g/m2": ("w", 1), "gsm": ("w", 1), "mm": ("l", 1), "cm": ("l", 10), "m": ("l", 1000), "ml": ("v", 1), "cl": ("v", 10), "dl": ("v", 100), "l": ("v", 1000), "liter": ("v", 1000), "litre": ("v", 1000), "litres": ("v", 1000)}
 _CODE = re.compile(r"(?<!\d)(\d{5})[ -]?(\d{2})(?!\d)")
@@ -103,6 +104,20 @@ class Parser:
             self.heads[word] = next(((len(word) - cut, self.single[word[cut:]]) for cut in range(1, len(word) - 2) if word[cut:] in self.single), None)
         return self.heads[word]
 
+    def spellings(self, title: str | None, vendor: str | None) -> list[str]:
+        """What of a title may be a misspelt or divided model name: words and joined neighbours that differ in length from one by a letter at most.
+
+        Words of the maker, kinds of one word, colours and measures are left out and join nothing.
+        """
+        makers = set(_LETTERS.findall(plain(vendor or "")))
+        text = _COLOUR_RE.sub(" | ", plain(_MEASURE.sub(" | ", title or "")))
+        words = []
+        for word in re.findall(r"[^\W\d_]+|[^\s\w-]|\d+", text):
+            s = stem(word)
+            words.append(word if word.isalpha() and word not in makers and s not in self.single and not self._head(s) else "")
+        joined = [a + b for a, b in zip(words, words[1:]) if a and b]
+        return sorted({w for w in words + joined if abs(len(w) - MODEL_LETTERS) <= 1})
+
     def parse(self, title: str | None, vendor: str | None, body: str | None, skus: list[str | None] | None) -> Attributes:
         title = title or ""
         found = blocks(body)

@@ -77,3 +77,19 @@ def test_rows_of_one_key_count_once(spark):
     got = lk.parsed(df, "product_id", "title", "vendor", "body", "skus", KINDS)
     assert [(r["product_id"], r["model"], r["colour"]) for r in got.collect()] == [("a", "rapusaku", "black")]
     assert lk.parsed(df.limit(0), "product_id", "title", "vendor", "body", "skus", KINDS).count() == 0
+
+
+def test_misspelt_and_divided_models_are_repaired(spark):
+    titles = {"a": "jacka Polakipi svart", "b": "jacka Bidokava", "c": "Rapusaku Rapusako", "d": "Rapusako", "drop": "Polakii jacka brick 80cm", "add": "jacka Polaakipi", "swap": "svart Ploakipi", "two": "Bido kava", "apart": "Bido svart kava", "tie": "Rapusakk jacka", "far": "Polaki jacka", "maker": "jacka svart"}
+    df = spark.createDataFrame([(k, t, "Polakip AB" if k == "maker" else "V", None, None) for k, t in titles.items()], "product_id string, title string, vendor string, body string, skus array<string>")
+    got = {r["product_id"]: r["model"] for r in lk.repaired(lk.parsed(df, "product_id", "title", "vendor", "body", "skus", KINDS), "product_id").collect()}
+    assert got == {"a": "polakipi", "b": "bidokava", "c": "rapusaku", "d": "rapusako", "drop": "polakipi", "add": "polakipi", "swap": "polakipi", "two": "bidokava", "apart": None, "tie": None, "far": None, "maker": None}
+
+
+def test_listings_with_misspelt_models_are_paired(spark, tmp_path):
+    base = [(f"{m}{i}", f"{m} jacka svart 280 gsm") for m in ("Polakipi", "Bidokava", "Rapusaku", "Samagadi") for i in range(3)]
+    given = [*base, ("x", "Polakii jacka svart 280 gsm"), ("y", "Sama gadi jacka svart 280 gsm")]
+    spark.createDataFrame([(k, t, "Kvarn", None, None) for k, t in given], "product_id string, title string, vendor string, body_html string, skus array<string>").write.parquet(str(tmp_path / "product_record.parquet"))
+    spark.createDataFrame([("product_type", 1, "Jackor", ["jacka"])], "field_name string, canon_id long, name string, alt_names array<string>").write.parquet(str(tmp_path / "canon_value.parquet"))
+    got = set(rows(lk.p4_found(spark, str(tmp_path))))
+    assert {("Polakipi0", "x"), ("Samagadi0", "y")} <= got and len(got) == 18

@@ -33,8 +33,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("product_id", "version", utc_text(F.col("valid_from")).alias("valid_from"), F.coalesce(utc_text(F.coalesce("valid_to", gone)), F.lit("")).alias("valid_to"))
 
 
-def product_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Node and bridge tables of the product records' payloads, or, where null, of their columns."""
+def product_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Node and bridge tables of the product records' payloads, or, where null, of their columns, and the payloads that can't be read."""
     records = table(spark, sf_dir, "product_record")
     payload = F.coalesce("source_payload", F.to_json(F.struct("variants", "options", "images")))
     return nested.shred(records, F.col("product_id"), payload, nested.PRODUCT, ("product", "products"))
@@ -42,7 +42,8 @@ def product_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants, options, option values, images, image-to-variant links and stock levels with their parents."""
-    found = nested.child_keys(*product_tables(spark, sf_dir))
+    nodes, bridge, _ = product_tables(spark, sf_dir)
+    found = nested.child_keys(nodes, bridge)
     return found.select(F.col("record_key").alias("product_id"), "child_kind", "parent_key", "child_key")
 
 

@@ -15,7 +15,7 @@ def shred(spark, *payloads):
 
 
 def keys(spark, *payloads):
-    return [r[1:] if len(payloads) == 1 else r for r in rows(nested.child_keys(*shred(spark, *payloads)))]
+    return [r[1:] if len(payloads) == 1 else r for r in rows(nested.child_keys(*shred(spark, *payloads)[:2]))]
 
 
 def test_children_with_parents(spark):
@@ -33,7 +33,7 @@ def test_unreadable_absent_and_empty_give_nothing(spark):
 
 
 def test_identical_objects_are_stored_once_and_every_occurrence_kept(spark):
-    nodes, bridge = shred(spark, json.dumps(P), json.dumps(P))
+    nodes, bridge, _ = shred(spark, json.dumps(P), json.dumps(P))
     assert nodes.where("kind = 'option'").count() == 1
     assert bridge.where("child_kind = 'option'").count() == 2
     assert nodes.count() == bridge.select("child_id").distinct().count()
@@ -43,8 +43,30 @@ def test_identical_objects_are_stored_once_and_every_occurrence_kept(spark):
     assert shred(spark, a, json.dumps(P | {"variants": P["variants"][::-1]}))[0].where("kind = 'product'").count() == 2
 
 
+def test_children_without_a_key_are_hashed_and_kept(spark):
+    payloads = [{"id": 1, "variants": [{"title": "S"}]}, {"id": 1, "variants": [{"title": "XL", "price": 9, "inventory": {"L-1": 2}}]}, {"id": 1}, {"id": 1, "variants": []}, {"id": 1, "variants": [None, 5]}, {"id": 1, "variants": "no list"}]
+    nodes, bridge, _ = shred(spark, *map(json.dumps, payloads))
+    assert bridge.where("child_kind = 'product'").select("child_id").distinct().count() == len(payloads)
+    got = [tuple(r) for r in bridge.where("parent_id is not null").orderBy("record_key", "child_kind", "ordinal").select("record_key", "parent_key", "parent_keyed", "child_kind", "ordinal").collect()]
+    assert got == [("p0", "p0", True, "variant", 0), ("p1", "#0", False, "level", 0), ("p1", "p1", True, "variant", 0), ("p4", "p4", True, "variant", 0), ("p4", "p4", True, "variant", 1)]
+    held = {r["content"] for r in nodes.join(bridge.where("child_kind = 'variant'"), nodes["node_id"] == bridge["child_id"]).collect()}
+    assert held == {'{"title":"S"}', '{"price":9,"title":"XL"}', "null", "5"}
+
+
+def test_numbers_and_wrappings_are_canonical_and_nothing_beside_them_is_lost(spark):
+    same = ['{"id": 1, "options": [{"name": "A", "n": 1}]}', '{"options": [{"n": 1.0, "name": "A"}], "id": 1e0}', '{"id": 1, "options": {"edges": [{"node": {"name": "A", "n": 1}}]}}']
+    other = ['{"id": 1, "options": {"edges": [{"node": {"name": "A", "n": 1}, "cursor": "c"}]}}', '{"id": 1, "options": [{"name": "A", "n": 1.5}]}', '{"id": 1, "options": [{"name": "A", "n": 1e999}]}']
+    assert shred(spark, *same, *other)[1].where("child_kind = 'product'").select("child_id").distinct().count() == 4
+
+
+def test_what_is_no_record_is_rejected_with_a_reason(spark):
+    _, bridge, rejected = shred(spark, "{", '[1, {"id": 2}]', None, "null")
+    assert [(r[0], r[1], r[2][:9]) for r in rows(rejected)] == [("p0", 0, "no JSON: "), ("p1", 0, "no object"), ("p3", 0, "no object")]
+    assert [tuple(r) for r in bridge.select("record_key", "ordinal").collect()] == [("p1", 1)]
+
+
 def test_ordinals_and_repeated_children(spark):
-    _, bridge = shred(spark, json.dumps({"options": [{"name": "A", "values": ["x", "x", "y"]}]}))
+    _, bridge, _ = shred(spark, json.dumps({"options": [{"name": "A", "values": ["x", "x", "y"]}]}))
     assert sorted(r["ordinal"] for r in bridge.where("child_kind = 'option_value'").collect()) == [0, 1, 2]
 
 
@@ -55,4 +77,4 @@ def test_long_and_odd_text(spark):
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "pid string, body string")
-    assert nested.child_keys(*nested.shred(df, F.col("pid"), F.col("body"), nested.PRODUCT)).count() == 0
+    assert nested.child_keys(*nested.shred(df, F.col("pid"), F.col("body"), nested.PRODUCT)[:2]).count() == 0

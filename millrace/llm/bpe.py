@@ -16,9 +16,10 @@ transitions are asked for.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -40,14 +41,33 @@ def read_ranks(path: str) -> list[bytes]:
     return [t for _, t in pairs]
 
 
+class Recent(dict):
+    """A mapping of about ``size`` entries at most: of those made longest ago the ones not asked for since are forgotten."""
+
+    def __init__(self, make: Callable, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size // 2:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class TokenAutomaton:
     """The automaton of a vocabulary whose ids are its merge ranks, bytes first."""
 
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
         self.ids = {t: i for i, t in enumerate(tokens)}
-        self.longest = max(map(len, tokens))
-        self.prefixes = {t[:n] for t in tokens for n in range(1, len(t))}
+        # the id of each token, -1 for what only begins one; and of each token the longest shorter one that begins it
+        self.begun = dict.fromkeys((t[:n] for t in tokens for n in range(1, len(t))), -1) | self.ids
+        self.shorter = [next((self.ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ids), -1) for t in tokens]
         # a label's left part, for labels made by merges
         self.left: list[int] = [-1] * len(tokens)
         # states of one token's gadgets follow one another: each copies the one before, the first the token's first target
@@ -55,7 +75,8 @@ class TokenAutomaton:
         self.states: list[list[int]] = [[] for _ in tokens]
         self.lacking: dict[tuple[int, int], int] = {}
         self.target = [0] * len(tokens)
-        self.table: dict[tuple[int, int], bool] = {}
+        #: Whether a state has an arc with a label, as far as asked for.
+        self.table = Recent(lambda asked: self._has(*asked), 4_000_000)
         for w, token in enumerate(tokens):
             if len(token) > 1:
                 self._gadget(w, *self._parts(token, w))
@@ -80,16 +101,6 @@ class TokenAutomaton:
         self.lacking[u, v] = state
         self.target[u], self.target[w], self.left[w] = state, after, u
 
-    def arc(self, state: int, label: int) -> bool:
-        """Whether ``state`` has an arc ``label``."""
-        asked = (state, label)
-        found = self.table.get(asked)
-        if found is None:
-            if len(self.table) > 2_000_000:
-                self.table.clear()
-            found = self.table[asked] = self._has(state, label)
-        return found
-
     def _has(self, state: int, label: int) -> bool:
         while state:
             if label >= self.born[state] and self.left[label] >= 0:
@@ -107,58 +118,78 @@ class TokenAutomaton:
             state = own[at - 1] if at else self.copied[own[0]]
         return True
 
+    def _longest(self, word: bytes, at: int) -> int:
+        """The longest token that ``word`` goes on with at a place."""
+        begun, found, end = self.begun, -1, at + 1
+        while (label := begun.get(word[at:end])) is not None and end <= len(word):
+            found = label if label >= 0 else found
+            end += 1
+        return found
+
     def encode(self, word: bytes) -> list[int]:
-        """The labels of the path that spells ``word``: at each place exactly one token ends such a path."""
+        """The labels of the only path that spells ``word``.
+
+        At each state the longest token with an arc is tried first. Just one
+        path leads to a place in the word, so a place from which none goes on is
+        given up for good.
+        """
         whole = self.ids.get(word)
         if whole is not None:
             return [whole]
-        size = len(word)
-        last, ids, target = [-1] * (size + 1), self.ids, self.target
-        for at in range(size):
-            if at and last[at] < 0:
-                continue
-            state = target[last[at]] if at else 0
-            for end in range(at + 1, min(size, at + self.longest) + 1):
-                part = word[at:end]
-                label = ids.get(part)
-                if label is not None and last[end] < 0 and self.arc(state, label):
-                    last[end] = label
-                if part not in self.prefixes:
-                    break
-        out = []
-        while size:
-            out.append(last[size])
-            size -= len(self.tokens[last[size]])
-        return out[::-1]
+        size, tokens, table, target, shorter = len(word), self.tokens, self.table, self.target, self.shorter
+        out: list[int] = []
+        closed: set[int] = set()
+        at = state = 0
+        label = self._longest(word, 0)
+        while at < size:
+            while label >= 0 and (at + len(tokens[label]) in closed or not table[state, label]):
+                label = shorter[label]
+            if label >= 0:
+                out.append(label)
+                at, state = at + len(tokens[label]), target[label]
+                label = self._longest(word, at)
+            else:
+                closed.add(at)
+                last = out.pop()
+                at, state, label = at - len(tokens[last]), target[out[-1]] if out else 0, shorter[last]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.tokens[i] for i in ids).decode("utf-8", "replace")
 
 
+#: A blank beside other white space, or a second blank.
+_RUN = re.compile(r" \s|[^\S ] ")
+
+
 class Encoder:
-    """Encodes texts: pre-splits them and runs each word through the automaton; frequent words are remembered."""
+    """Encodes texts: pre-splits them and runs each word through the automaton.
+
+    No word of the pattern goes on over a single blank, so the pieces between
+    blanks are encoded on their own, each with the blank before it; pieces and
+    words met of late are remembered. A text in which blanks meet other white
+    space is pre-split as a whole.
+    """
 
     def __init__(self, automaton: TokenAutomaton, pattern: str = PATTERN, remember: int = 300_000):
-        self.automaton, self.split, self.remember = automaton, regex.compile(pattern).findall, remember
-        self.known: dict[str, bytes] = {}  # ids as 32-bit integers, ready to be joined
-
-    def _word(self, word: str) -> bytes:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = array("i", self.automaton.encode(word.encode("utf-8"))).tobytes()
-            if len(self.known) >= self.remember:
-                self.known.clear()
-            if len(word) <= 64:
-                self.known[word] = ids
-        return ids
+        self.automaton, self.split = automaton, regex.compile(pattern).findall
+        # ids as 32-bit integers, ready to be joined
+        self.words = Recent(lambda word: array("i", automaton.encode(word.encode("utf-8"))).tobytes(), remember)
+        self.pieces = Recent(lambda piece: self._whole(" " + piece), remember)
+
+    def _whole(self, text: str) -> bytes:
+        words = self.words
+        return b"".join([words[w] for w in self.split(text)])
 
     def packed(self, text: str | None) -> bytes:
         """The ids of a text as consecutive 32-bit integers."""
-        words = self.split(text) if text else ()
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            return b"".join([self._word(w) for w in words])
+        if not text:
+            return b""
+        if _RUN.search(text):
+            return self._whole(text)
+        first, *rest = text.split(" ")
+        pieces = self.pieces
+        return self._whole(first) + b"".join([pieces[p] for p in rest])
 
     def __call__(self, text: str | None) -> list[int]:
         return array("i", self.packed(text)).tolist()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -188,12 +188,18 @@ class SyncReport:
 
 @dataclass(frozen=True)
 class Store:
-    """The four tables of a catalog; the merge gives new ones and changes none."""
+    """The four tables of a catalog; the merge gives new ones and changes none.
+
+    ``added`` has the rows by which a table is longer than in the store it was
+    made of, for the tables that a merge only adds to; ``version`` is that store's.
+    """
 
     product_version: DataFrame
     product_state: DataFrame
     enrichment_cache: DataFrame
     product_enrichment: DataFrame
+    version: int = 0
+    added: dict[str, DataFrame] = field(default_factory=dict)
 
 
 STORE = {
@@ -251,8 +257,9 @@ def sync(store: Store, batch: DataFrame, now: str) -> tuple[Store, DataFrame]:
     jobs = jobs.select("enrichment_input_hash", "input_payload", F.lit("pending").alias("status"), nothing.alias("result"), nothing.alias("raw_response"), F.lit(now).alias("created_at"), nothing.alias("completed_at"))
     linked = asked.join(store.product_enrichment, ["product_id", "enrichment_input_hash"], "left_anti").withColumn("first_requested", F.lit(now))
     counts = outcomes.where(F.col("outcome").isNotNull()).groupBy("outcome").agg(F.count("*").alias("n")).unionByName(jobs.agg(F.lit("enrichment_jobs").alias("outcome"), F.count("*").alias("n")))
-    after = Store(store.product_version.unionByName(added), merged_state(outcomes, now), store.enrichment_cache.unionByName(jobs), store.product_enrichment.unionByName(linked))
-    return after, counts
+    new = {"product_version": added, "enrichment_cache": jobs, "product_enrichment": linked}
+    longer = {name: getattr(store, name).unionByName(rows) for name, rows in new.items()}
+    return Store(product_state=merged_state(outcomes, now), version=store.version, added=new, **longer), counts
 
 
 def pending_enrichment(cache: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Processing only new or changed records, from persisted key and content-hash state.
 
-The state is a set of immutable Parquet parts in a shared folder and one
-pointer file that lists the parts in force. A run hashes the current rows,
-joins them with the state and gets exactly the new and changed ones; after its
-work it writes its keys as a further part and swaps the pointer by an atomic
-rename. A run that dies before the swap leaves the state as it was, so its
-records come up again; one that dies after it has nothing left to repeat.
+The state is a set of immutable Parquet parts in a shared folder and a small
+file for each version that lists the parts in force. A run hashes the current
+rows, joins them with the state and gets exactly the new and changed ones;
+after its work it writes its keys as a further part and creates the next
+version's file, which only one run can. A run that dies before that leaves the
+state as it was, so its records come up again; one that dies after it has
+nothing left to repeat; one that comes second must read the state again.
 """
 
 from __future__ import annotations
@@ -15,11 +16,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.session import read_small, swap
+from millrace.session import Conflict, advance, current
 
-
-class StateConflict(RuntimeError):
-    """Another run swapped the state after this one read it."""
+StateConflict = Conflict
 
 
 def content_hash(columns: list[str]) -> Column:
@@ -42,14 +41,8 @@ class ProcessingState:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.version, self.parts = self._pointer()
-
-    def _pointer(self) -> tuple[int, list[str]]:
-        text = read_small(self.spark, f"{self.path}/_CURRENT")
-        if text is None:
-            return 0, []
-        said = json.loads(text)
-        return said["version"], said["parts"]
+        self.version, text = current(spark, self.path)
+        self.parts: list[str] = json.loads(text) if text else []
 
     def read(self) -> DataFrame:
         """The state in force, one row per key."""
@@ -79,10 +72,10 @@ class ProcessingState:
         )
 
     def commit(self, processed: DataFrame) -> int:
-        """Records ``processed`` (key, content_hash) as done and swaps the state; returns its new version.
+        """Records ``processed`` (key, content_hash) as done in a new version of the state; returns its number.
 
         Of several contents of a key the largest hash stays. Raises
-        StateConflict if the pointer is not the one this object read.
+        StateConflict if another run made that version first.
         """
         done = processed.groupBy(F.col("key").cast("string").alias("key")).agg(F.max("content_hash").alias("content_hash")).where(F.col("key").isNotNull())
         done = done.withColumn("state_version", F.lit(self.version + 1).cast("bigint"))
@@ -91,11 +84,7 @@ class ProcessingState:
             done, parts = self.read().join(done.select("key"), "key", "left_anti").unionByName(done), []
         name = f"part-{self.version + 1:08d}-{uuid.uuid4().hex}"
         done.write.mode("errorifexists").parquet(f"{self.path}/{name}")
-        self._swap(self.version + 1, [*parts, name])
+        parts.append(name)
+        advance(self.spark, self.path, self.version + 1, json.dumps(parts))
+        self.version, self.parts = self.version + 1, parts
         return self.version
-
-    def _swap(self, version: int, parts: list[str]) -> None:
-        if self._pointer()[0] != self.version:
-            raise StateConflict(f"state {self.path} is no longer at version {self.version}")
-        swap(self.spark, f"{self.path}/_CURRENT", json.dumps({"version": version, "parts": parts}))
-        self.version, self.parts = version, parts

@@ -47,16 +47,59 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("record_key").alias("product_id"), "child_kind", "parent_key", "child_key")
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exactly the enrichment inputs the next run has to process, each once."""
+def enrichment_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Inputs asked for, each with what the cache holds of it, and the inputs done: (hash, status, result, run_id) both.
+
+    An input is done by a completed row of a successful run with a result that
+    is non-empty JSON; of several such rows the one of the largest run id, then
+    result, stands. An input without one has nulls.
+    """
     runs = table(spark, sf_dir, "enrichment_run").where(F.lower(F.trim("status")) == "success").select(F.trim("run_id").alias("run_id")).distinct()
     result = F.to_json(F.try_parse_json(F.trim("result")))
-    cache = table(spark, sf_dir, "enrichment_cache").where(F.lower(F.trim("status")) == "completed").where(result.isNotNull() & ~result.isin("null", "{}", "[]", '""'))
-    done = cache.withColumn("run_id", F.trim("run_id")).join(runs, "run_id", "left_semi").select(clean_hash("enrichment_input_hash").alias("hash"))
+    cache = table(spark, sf_dir, "enrichment_cache").select(clean_hash("enrichment_input_hash").alias("hash"), F.lower(F.trim("status")).alias("status"), result.alias("result"), F.trim("run_id").alias("run_id"))
+    usable = cache.where((F.col("status") == "completed") & F.col("result").isNotNull() & ~F.col("result").isin("null", "{}", "[]", '""') & F.col("hash").isNotNull())
+    row = F.struct("run_id", "result", "status")
+    done = written(usable.join(runs, "run_id", "left_semi").groupBy("hash").agg(F.max(row).alias("r")).select("hash", "r.status", "r.result", "r.run_id"), "done")
+    asked = table(spark, sf_dir, "product_enrichment").select(clean_hash("enrichment_input_hash").alias("hash")).where(F.col("hash").isNotNull()).distinct()
+    return asked.join(done, "hash", "left"), done
+
+
+CONTENT = ["status", "result", "run_id"]
+
+
+def finished(inputs: DataFrame) -> DataFrame:
+    """What a run records of inputs it is done with: their key and the hash of what the cache holds of them."""
+    return inputs.select(F.col("hash").alias("key"), incremental.content_hash(CONTENT).alias("content_hash"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly the enrichment inputs the next run has to process, each once: those that what the successful runs recorded doesn't cover."""
+    inputs, done = enrichment_inputs(spark, sf_dir)
     state = incremental.ProcessingState(spark, f"{work_dir(spark)}/enrichment-{uuid.uuid4().hex}")
-    state.commit(done.where(F.col("hash").isNotNull()).select(F.col("hash").alias("key"), incremental.content_hash(["hash"]).alias("content_hash")))
-    asked = table(spark, sf_dir, "product_enrichment").select(clean_hash("enrichment_input_hash").alias("hash"))
-    return state.changes(asked, F.col("hash"), ["hash"]).select(F.col("key").alias("enrichment_input_hash"))
+    state.commit(finished(done))
+    return state.changes(inputs, F.col("hash"), CONTENT).select(F.col("key").alias("enrichment_input_hash"))
+
+
+def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run INT, enrichment_input_hash, change) of three runs over one state: the first finds it empty, the second has more results, the third the same.
+
+    The first run sees no results of the runs that finished in the later half of
+    the time, so an input with such a result alone is changed at the second.
+    """
+    inputs, done = enrichment_inputs(spark, sf_dir)
+    ended = table(spark, sf_dir, "enrichment_run").where(F.col("finished_at").isNotNull())
+    middle = ended.agg(F.percentile_approx("finished_at", 0.5)).first()[0]
+    late = ended.where(F.col("finished_at") > F.lit(middle)).select(F.trim("run_id").alias("run_id")).distinct()
+    early = done.join(late, "run_id", "left_anti")
+    path, out = f"{work_dir(spark)}/runs-{uuid.uuid4().hex}", None
+    for run, known in enumerate((early, done, done), 1):
+        state = incremental.ProcessingState(spark, path)
+        now = inputs.select("hash").join(known, "hash", "left")
+        found = written(state.changes(now, F.col("hash"), CONTENT), "found")
+        state.commit(found)
+        one = found.select(F.lit(run).alias("run"), F.col("key").alias("enrichment_input_hash"), "change")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +123,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("change", kind).join(complete.select("feed_id", "seq", "run_id"), ["feed_id", "seq"]).select("feed_id", "run_id", "product_id", "change")
 
 
-QUERY_FUNCTIONS = (p1_found, p3_found, p5_found, p7_found)
+QUERY_FUNCTIONS = (p1_found, p3_found, p5_found, p5_runs, p7_found)

@@ -34,11 +34,11 @@ def batch_of(records: DataFrame) -> DataFrame:
     return hashed.select("product_id", "source_payload_hash", "enrichment_input_hash", F.to_json(fields, {"ignoreNullFields": "false"}).alias("payload"), catalog.enrichment_input().alias("input_payload"))
 
 
-def sync_store(spark: SparkSession, path: str, records: DataFrame, now: str) -> catalog.SyncReport:
-    """Merges a full batch into the store at ``path``; readers see all of it or none."""
+def sync_store(spark: SparkSession, path: str, records: DataFrame, now: str, mark: str | None = None) -> catalog.SyncReport:
+    """Merges a full batch into the store at ``path``, and marks it as applied; readers see all of it or none."""
     after, counts = catalog.sync(open_store(spark, path), written(batch_of(records), "batch"), now)
     report = catalog.SyncReport(**{r["outcome"]: r["n"] for r in counts.collect()})
-    save_store(spark, path, after)
+    save_store(spark, path, after, (mark, now) if mark else None)
     return report
 
 

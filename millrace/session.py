@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -82,24 +83,57 @@ def write_small(spark: SparkSession, path: str, text: str, overwrite: bool = Fal
         out.close()
 
 
-def swap(spark: SparkSession, path: str, text: str) -> None:
-    """Makes ``text`` the content of a small file by one atomic rename: readers see the old content or the new."""
-    jvm = spark._jvm
-    part = f"{path}.{uuid.uuid4().hex}"
+class Conflict(RuntimeError):
+    """Another run went ahead of the version this one read."""
+
+
+def current(spark: SparkSession, folder: str) -> tuple[int, str | None]:
+    """The version in force in a folder of versions and its text, (0, null) where there is none yet."""
+    fs, where = file_system(spark, f"{folder}/_VERSION-*")
+    names = sorted(s.getPath().toString() for s in fs.globStatus(where) or ())
+    return (int(names[-1].rsplit("-", 1)[1]), read_small(spark, names[-1])) if names else (0, None)
+
+
+def advance(spark: SparkSession, folder: str, version: int, text: str) -> None:
+    """Puts ``version`` in force, one above the version read: readers see all of ``text`` or nothing, and of several writers one succeeds.
+
+    Its file is written aside and named by a link or rename that fails where
+    the name is taken; HDFS and local file systems do so atomically. Object
+    stores have no such rename: there the folder must lie on one of the others.
+    Version files are small and stay.
+    """
+    jvm, target = spark._jvm, f"{folder}/_VERSION-{version:010d}"
+    part = f"{folder}/_part-{uuid.uuid4().hex}"
     write_small(spark, part, text)
     fs, source = file_system(spark, part)
-    rename = jvm.org.apache.hadoop.fs.Options.Rename
-    options = spark.sparkContext._gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE
-    target = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(path))
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(source), target, options)
+    _, named = file_system(spark, target)
+    if fs.getUri().getScheme() == "file":
+        try:
+            os.link(source.toUri().getPath(), named.toUri().getPath())
+        except FileExistsError as e:
+            raise Conflict(f"{folder} is at version {version} already") from e
+        finally:
+            fs.delete(source, False)
+        return
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(
+            fs.makeQualified(source), fs.makeQualified(named), spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        )
+    except Py4JJavaError as e:
+        if fs.exists(named):
+            raise Conflict(f"{folder} is at version {version} already") from e
+        raise
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` in enough partitions for work that is heavy per row, by hash of a unique ``key``.
+def spread(df: DataFrame, key: str, tasks_per_core: int = 4) -> DataFrame:
+    """``df`` in at least ``tasks_per_core`` tasks a core for work that is heavy per row, by hash of a unique ``key``.
 
-    Inputs that already split into two tasks a core stay as they are, so large
-    ones are never shuffled for this.
+    Only the optimizer's estimate of its size is asked for, and nothing is run:
+    where that makes enough splits for all cores the rows stay where they are,
+    so large inputs are never shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    return df if size >= 2 * cores * split else df.repartition(tasks_per_core * cores, key)

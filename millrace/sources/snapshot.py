@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.operators.catalog import RECORD_FIELDS, STORE, Store
-from millrace.session import file_system, read_small, swap, write_small
+from millrace.session import advance, current, file_system, read_small, write_small
 
 SNAPSHOT = """product_id string, handle string, title string, body_html string, vendor string, product_type string, tags array<string>,
 options array<struct<name string, values array<string>>>, variant_ids array<string>, variant_titles array<string>, variant_options array<array<string>>,
@@ -63,18 +63,52 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(text)
 
 
+#: What has been merged into a store: kept with it, so that a merge and its mark are one step.
+APPLIED = "name string, at string"
+COMPACT_AFTER = 16
+
+
+def _parts(spark: SparkSession, path: str) -> tuple[int, dict[str, list[str]]]:
+    version, text = current(spark, path)
+    return version, json.loads(text) if text else {name: [] for name in (*STORE, "applied")}
+
+
+def _read(spark: SparkSession, path: str, schema: str, parts: list[str]) -> DataFrame:
+    return spark.read.schema(schema).parquet(*(f"{path}/{p}" for p in parts)) if parts else spark.createDataFrame([], schema)
+
+
 def open_store(spark: SparkSession, path: str) -> Store:
-    """The store whose version the pointer names; an empty one where there is none yet."""
-    version = read_small(spark, f"{path}/_CURRENT")
-    if version is None:
-        return Store(*(spark.createDataFrame([], schema) for schema in STORE.values()))
-    return Store(*(spark.read.schema(schema).parquet(f"{path}/{version}/{name}") for name, schema in STORE.items()))
+    """The store in force at ``path``; an empty one where there is none yet."""
+    version, parts = _parts(spark, path)
+    return Store(*(_read(spark, path, schema, parts[name]) for name, schema in STORE.items()), version=version)
+
+
+def applied(spark: SparkSession, path: str) -> DataFrame:
+    """(name, at) of what ``save_store`` was told to mark."""
+    return _read(spark, path, APPLIED, _parts(spark, path)[1]["applied"])
+
 
+def save_store(spark: SparkSession, path: str, store: Store, mark: tuple[str, str] | None = None) -> int:
+    """Puts a merged store in force as the version after the one it was opened at; readers see all of a merge or none.
 
-def save_store(spark: SparkSession, path: str, store: Store) -> str:
-    """Writes all four tables as a new version, then swaps the pointer: readers see all of a merge or none."""
-    version = f"v-{uuid.uuid4().hex}"
+    Tables that a merge only adds to get its rows as a further part; what it
+    changes throughout (the state) is written anew, and so is a table of many
+    parts. ``mark`` (name, time) is recorded in the same step. Raises Conflict
+    if another merge came first; what this one wrote is then in no version.
+    """
+    _, parts = _parts(spark, path)
+    parts = {name: list(p) for name, p in parts.items()}
     for name in STORE:
-        getattr(store, name).write.mode("errorifexists").parquet(f"{path}/{version}/{name}")
-    swap(spark, f"{path}/_CURRENT", version)
-    return version
+        added = store.added.get(name)
+        whole = added is None or len(parts[name]) >= COMPACT_AFTER
+        part = f"{name}-{store.version + 1:08d}-{uuid.uuid4().hex}"
+        (getattr(store, name) if whole else added).write.mode("errorifexists").parquet(f"{path}/{part}")
+        parts[name] = [part] if whole else [*parts[name], part]
+    if mark:
+        part = f"applied-{store.version + 1:08d}-{uuid.uuid4().hex}"
+        done = spark.createDataFrame([mark], APPLIED)
+        whole = len(parts["applied"]) >= COMPACT_AFTER
+        (applied(spark, path).unionByName(done) if whole else done).coalesce(1).write.mode("errorifexists").parquet(f"{path}/{part}")
+        parts["applied"] = [part] if whole else [*parts["applied"], part]
+    advance(spark, path, store.version + 1, json.dumps(parts))
+    return store.version + 1

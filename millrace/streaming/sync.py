@@ -1,8 +1,8 @@
 """Catalog batches as a stream: each micro-batch of complete snapshots is merged into the store once.
 
 A snapshot counts as one unit, so the stream carries whole snapshots (one file
-each); the checkpoint and the store's own record of applied snapshots make a
-replayed micro-batch harmless.
+each). The store records which it holds in the same step as their rows, so a
+micro-batch that is replayed, after whatever crash, merges nothing twice.
 """
 
 from __future__ import annotations
@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.operators.incremental import ProcessingState
 from millrace.plans.ingest import sync_store
-from millrace.sources.snapshot import SNAPSHOT
+from millrace.sources.snapshot import SNAPSHOT, applied
 
 
 def stream_snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -29,10 +28,8 @@ def merge_snapshots(snapshots: DataFrame, store: str, checkpoint: str, digest) -
 
     def apply(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        applied = ProcessingState(spark, f"{store}-applied")
-        files = batch.select("file", "at").distinct()
-        for row in applied.changes(files, F.col("file"), ["at"]).orderBy("record.at", "key").collect():  # one file a trigger
-            sync_store(spark, store, digest(batch.where(F.col("file") == row["key"])).drop("file", "at"), row["record"]["at"].isoformat())
-            applied.commit(spark.createDataFrame([(row["key"], row["content_hash"])], "key string, content_hash string"))
+        files = batch.groupBy("file").agg(F.max("at").alias("at")).join(applied(spark, store).select(F.col("name").alias("file")), "file", "left_anti")
+        for row in files.orderBy("at", "file").collect():  # one file a trigger
+            sync_store(spark, store, digest(batch.where(F.col("file") == row["file"])).drop("file", "at"), row["at"].isoformat(), row["file"])
 
     return snapshots.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

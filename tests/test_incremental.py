@@ -1,10 +1,12 @@
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from millrace.operators.incremental import ProcessingState, StateConflict
+from millrace.plans import core
 
 SCHEMA = "key string, name string, tags array<string>, content_hash string, change string"
 
@@ -52,6 +54,33 @@ def test_two_runs_can_not_both_commit(spark, path):
     assert rows(ProcessingState(spark, path).read()) == [("a", "h", 1)]
 
 
+def test_of_writers_at_once_one_succeeds(spark, path):
+    """All read version 0, pass every check there is, and commit at the same moment."""
+    states = [ProcessingState(spark, path) for _ in range(4)]
+    done = [spark.createDataFrame([(f"k{i}", "h")], "key string, content_hash string") for i in range(4)]
+
+    def commit(i):
+        try:
+            return states[i].commit(done[i])
+        except StateConflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(commit, range(4)))
+    assert sorted(g for g in got if g) == [1]
+    assert rows(ProcessingState(spark, path).read()) == [(f"k{got.index(1)}", "h", 1)]
+
+
+def test_enrichment_runs_over_one_state(spark):
+    """New inputs come at the first run, changed ones at the second, none at the third; p5_found asks for those without a usable result."""
+    folder = "/root/testdata/sf0.001"
+    runs = core.p5_runs(spark, folder).groupBy("run", "change").count().collect()
+    got = {(r["run"], r["change"]): r["count"] for r in runs}
+    inputs, done = core.enrichment_inputs(spark, folder)
+    assert got[1, "new"] == inputs.count() and set(got) == {(1, "new"), (2, "changed")} and 0 < got[2, "changed"] <= done.count()
+    assert rows(core.p5_found(spark, folder)) == rows(inputs.where("result is null").select("hash"))
+
+
 def test_many_commits_are_compacted(spark, path, monkeypatch):
     monkeypatch.setattr(ProcessingState, "COMPACT_AFTER", 2)
     for n in range(4):

@@ -3,8 +3,10 @@
 Each distinct token of the values is joined to the reference list's vocabulary
 by edit distance, over equal strings with up to two letters deleted, so no two
 lists are crossed. Entries are then ranked for each value by the soft TF-IDF of
-the repaired tokens; an entry counts only if its tokens and the value's cover
-each other. Values that mean no entry are reported with -1.
+the repaired tokens: the cosine of both sides' weighted tokens, nearness of
+spelling counting as a share. What a word around a value weighs isn't listed
+but learned: one that stands beside many different entries says nothing.
+Values whose best entry is under a threshold are reported with -1.
 """
 
 from __future__ import annotations
@@ -13,14 +15,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.llm.edits import osa_distance
+from millrace.llm.edits import with_edits
 from millrace.session import written
 
-#: Words around a value that say nothing of it: legal forms, trade words, shop sections (fixed values, in folded spelling).
-NOISE = {
-    "vendor": ("ab", "aps", "as", "bv", "co", "corp", "gmbh", "inc", "kg", "llc", "ltd", "oy", "sa", "sweden", "sverige", "official", "officiell", "brand", "varumarke", "marke", "by", "av", "fran", "from", "wear", "and", "och", "og", "und", "the"),
-    "product_type": ("herr", "dam", "barn", "unisex", "men", "women", "kids", "nyhet", "nyheter", "new", "rea", "sale", "outlet", "outdoor", "klader", "clothing", "kollektion", "2023", "2024", "2025", "2026", "2027", "and", "och", "og", "und"),
-}
 _FROM, _TO = "åäâàáãöøôòóõüûùúéèêëíìîïñçæœ", "aaaaaaoooooouuuueeeeiiiincao"
 
 
@@ -34,8 +31,9 @@ def unaccented(value: Column) -> Column:
     return F.regexp_replace(F.translate(plain, _FROM, _TO), "ß", "ss")
 
 
-def tokens(value: Column, noise: Column, fold: Callable[[Column], Column] = folded) -> Column:
-    return F.filter(F.split(fold(value), "[^a-z0-9]+"), lambda t: (t != "") & ~F.array_contains(noise, t))
+def tokens(value: Column, fold: Callable[[Column], Column] = folded) -> Column:
+    """The distinct words of a value, in order."""
+    return F.array_distinct(F.filter(F.split(fold(value), "[^a-z0-9]+"), lambda t: t != ""))
 
 
 def deletions(token: Column, most: int) -> Column:
@@ -46,92 +44,99 @@ def deletions(token: Column, most: int) -> Column:
 
     out, last = F.array(token), F.array(token)
     for n in range(most):
-        last = F.array_distinct(F.flatten(F.transform(F.filter(last, lambda t: F.length(t) > 3), once)))
-        out = F.when(F.length(token) >= (4, 7)[n], F.array_union(out, last)).otherwise(out)
+        last = F.array_distinct(F.flatten(F.transform(F.filter(last, lambda t: F.length(t) > 1), once)))
+        out = F.when(F.length(token) >= (3, 6)[n], F.array_union(out, last)).otherwise(out)
     return out
 
 
 def repaired(words: DataFrame, vocabulary: DataFrame, most: int = 2) -> DataFrame:
     """(field, token, meant, edits) for distinct ``words`` and ``vocabulary`` (both field, token) within ``most`` edits.
 
-    Words of under four letters must be equal, under seven within one edit. A
-    swap of neighbours is one edit.
+    A swap of neighbours is one edit. Words of under three letters must be
+    equal, and under six within one edit, as their neighbours are too many.
+    Words longer than any of the vocabulary by more than ``most`` can have no
+    neighbour in it and are left out before anything is spelled.
     """
-    left = words.select("field", "token", F.explode(deletions(F.col("token"), most)).alias("_d"))
+    longest = vocabulary.groupBy("field").agg((F.max(F.length("token")) + most).alias("_longest"))
+    bounded = words.join(F.broadcast(longest), "field").where(F.length("token") <= F.col("_longest"))  # one row a field
+    left = bounded.select("field", "token", F.explode(deletions(F.col("token"), most)).alias("_d"))
     right = vocabulary.select("field", F.col("token").alias("meant"), F.explode(deletions(F.col("token"), most)).alias("_d"))
     pairs = left.join(right, ["field", "_d"]).select("field", "token", "meant").distinct()
-    far = pairs.withColumn("edits", F.when(F.col("token") == F.col("meant"), 0).otherwise(osa_distance("token", "meant")))
     shorter = F.least(F.length("token"), F.length("meant"))
-    return far.where(F.col("edits") <= F.when(shorter < 3, 0).when(shorter < 7, 1).otherwise(most))
-
-
-def forms(values: DataFrame, noise: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(field, value, form, words) of each value: all its words, its words as one, its words with letter pairs kept if that differs, and those of its parts between separators."""
-    stop = F.lit(None).cast("array<string>")
-    for field, words in noise.items():
-        stop = F.when(F.col("field") == field, F.array(*map(F.lit, words))).otherwise(stop)
-    stop = F.coalesce(stop, F.array().cast("array<string>"))
-    all_words = tokens(F.col("value"), stop)
-    parts = F.filter(F.transform(F.split("value", r"\s+[-–—]\s+|[|>/,;:()\[\]]+"), lambda p: tokens(p, stop)), lambda p: F.size(p) > 0)
-    listed = F.array(F.struct(F.lit("words").alias("form"), all_words.alias("words")), F.struct(F.lit("whole").alias("form"), F.array(F.array_join(all_words, "")).alias("words")))
-    numbered = F.when(F.size(parts) > 1, F.transform(parts, lambda p, i: F.struct(F.concat(F.lit("part"), i.cast("string")).alias("form"), p.alias("words"))))
-    plain = tokens(F.col("value"), stop, unaccented)
-    plain = F.when(plain != all_words, F.array(F.struct(F.lit("plain").alias("form"), plain.alias("words"))))
-    none = F.array().cast("array<struct<form:string,words:array<string>>>")
-    return values.select("field", "value", F.explode(F.concat(listed, F.coalesce(plain, none), F.coalesce(numbered, none))).alias("_f")).select("field", "value", "_f.form", "_f.words").where(
-        (F.size("words") > 0) & (F.element_at("words", 1) != "")
-    )
+    return with_edits(pairs, "token", "meant", most).where(F.col("edits") <= F.when(shorter < 3, 0).when(shorter < 6, 1).otherwise(most))
+
 
+def likeness(edits: Column, a: Column, b: Column) -> Column:
+    """1 for equal words, less by the edits' share of the letters of both."""
+    return 1.0 - edits / (F.length(a) + F.length(b))
 
-def canonical(values: DataFrame, reference: DataFrame, noise: dict[str, tuple[str, ...]] = NOISE, short: int = 10) -> DataFrame:
-    """(field, value, canon_id BIGINT, score DOUBLE) of each distinct value of ``values`` (field, value); canon_id -1, score 0 if it means none.
+
+def canonical(values: DataFrame, reference: DataFrame, least: float = 0.88) -> DataFrame:
+    """(field, value, canon_id BIGINT, score DOUBLE) of each distinct value of ``values`` (field, value); canon_id -1 if it means none, its score then that of the best.
 
     ``reference`` has (field, canon_id, name), several names for an id if need
-    be. Spellings under ``short`` letters may have one edit in all, longer ones
-    two. If the best entries of two ids are equally good, the value means
-    neither. Null and blank values mean none; repeats count once.
+    be. A value means the entry of the highest soft TF-IDF, if that is
+    ``least`` or more; if two ids are equally good, neither. It is compared word
+    by word, with letter pairs as typed too, and glued together, as words are
+    divided and joined. Null and blank values mean none; repeats count once.
+
+    A word of the list weighs log(1 + n/df) over the list's n names. Any other
+    word of a value is weighed by its company, log(1 + n/s**2) if it stands
+    beside s different words of the list in all values: legal forms, trade
+    words and shop sections lose their weight by that.
     """
     values = written(values.select("field", "value").where(F.col("value").isNotNull()).distinct(), "values")
-    entries = forms(reference.select("field", F.col("name").alias("value")).distinct(), noise).where(F.col("form").isin("words", "whole"))
-    # a compound may be typed with its "and": both spellings of the whole
-    joined = reference.where(F.col("name").rlike(r"\s(&|och|and|og|und)\s")).select("field", F.col("name").alias("value"), F.lit("whole").alias("form"), F.array(F.regexp_replace(folded(F.regexp_replace("name", r"\s+&\s+", "och")), "[^a-z0-9]+", "")).alias("words"))
-    entries = entries.unionByName(joined).distinct().withColumn("entry", F.xxhash64("field", "value", "form", "words"))
-    total = entries.where(F.col("form") == "words").groupBy("field").agg(F.countDistinct("entry").alias("_n"))
-    single = entries.select("field", "value", "form", "entry", F.size(F.array_distinct("words")).alias("entry_words"), F.length(F.array_join("words", "")).alias("entry_letters"), F.explode(F.array_distinct("words")).alias("meant"))
-    weight = single.groupBy("field", "form", "meant").agg(F.count("*").alias("_df")).join(total, "field").select("field", "form", "meant", F.log(1.0 + F.col("_n") / F.col("_df")).alias("idf"))
-    single = single.join(weight, ["field", "form", "meant"])
-    norm = single.groupBy("entry").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("entry_norm"))
-    ids = reference.select("field", "canon_id", F.col("name").alias("_name")).distinct()
-    single = written(single.join(norm, "entry").join(ids, (single["field"] == ids["field"]) & (single["value"] == ids["_name"])).select(single["field"], "form", "entry", "meant", "entry_words", "entry_letters", "idf", "entry_norm", "canon_id"), "entries")
-
-    typed = written(forms(values, noise), "forms")
-    spelled = typed.select("field", "value", F.col("form").alias("typed_form"), F.when(F.col("form").startswith("part") | (F.col("form") == "plain"), "words").otherwise(F.col("form")).alias("form"), F.size(F.array_distinct("words")).alias("value_words"), F.explode(F.array_distinct("words")).alias("token"))
-    repairs = repaired(spelled.select("field", "token").distinct(), single.select("field", F.col("meant").alias("token")).distinct())
-    met = spelled.join(repairs, ["field", "token"]).join(single, ["field", "form", "meant"])
-    likeness = 1.0 - F.col("edits") / F.greatest(F.length("token"), F.length("meant"))
-    # of several tokens repaired to one meant token the nearest counts, and each token stands once
-    met = met.groupBy("field", "value", "typed_form", "value_words", "entry", "canon_id", "entry_words", "entry_letters", "entry_norm", "meant").agg(F.min_by(F.struct("token", "edits", "idf", likeness.alias("like")), "edits").alias("m"))
-    ranked = met.groupBy("field", "value", "typed_form", "value_words", "entry", "canon_id", "entry_words", "entry_letters", "entry_norm").agg(
-        F.countDistinct("m.token").alias("covered"), F.sum("m.edits").alias("edits"), (F.sum(F.col("m.idf") * F.col("m.idf") * F.col("m.like"))).alias("dot")
+    names = reference.where(F.col("name").isNotNull()).select("field", "canon_id", "name").distinct().withColumn("entry", F.xxhash64("field", "canon_id", "name"))
+    listed = names.select("field", "canon_id", "entry", F.explode(tokens(F.col("name"))).alias("meant"))
+    total = names.groupBy("field").agg(F.countDistinct("name").alias("_n"))
+    weight = listed.groupBy("field", "meant").agg(F.countDistinct("entry").alias("_df")).join(total, "field").select("field", "meant", F.log(1.0 + F.col("_n") / F.col("_df")).alias("idf"))
+    listed = written(listed.join(weight, ["field", "meant"]), "entries")
+    norms = listed.groupBy("entry").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("entry_norm"))
+    listed = listed.join(norms, "entry")
+
+    forms = F.array(F.struct(F.lit("words").alias("form"), tokens(F.col("value")).alias("t")), F.struct(F.lit("plain").alias("form"), tokens(F.col("value"), unaccented).alias("t")))
+    typed = written(values.select("field", "value", F.explode(forms).alias("f")).select("field", "value", "f.form", F.posexplode("f.t").alias("at", "token")), "typed")
+    vocabulary = listed.select("field", F.col("meant").alias("token")).distinct()
+    repairs = written(repaired(typed.select("field", "token").distinct(), vocabulary), "repairs")
+
+    # company: the list's words that stand beside a word, itself and its own repairs left out
+    exact = typed.join(vocabulary, ["field", "token"], "left_semi").where(F.col("form") == "words").select("field", "value", F.col("token").alias("_beside"))
+    strange = typed.join(vocabulary, ["field", "token"], "left_anti")
+    beside = strange.join(exact, ["field", "value"]).select("field", "token", "_beside").distinct().groupBy("field", "token").agg(F.count("*").alias("_s"))
+    company = strange.select("field", "token").distinct().join(beside, ["field", "token"], "left").join(total, "field")
+    company = company.select("field", "token", F.log(1.0 + F.col("_n") / F.pow(F.coalesce("_s", F.lit(1)), 2)).alias("w"))
+    own = weight.select("field", F.col("meant").alias("token"), F.col("idf").alias("w"))
+    weighed = written(typed.join(company.unionByName(own), ["field", "token"]), "weighed")
+
+    # word by word: of an id's names the best counts, and words that mean another of its names don't speak against it
+    met = weighed.join(repairs, ["field", "token"]).join(listed, ["field", "meant"])
+    best = met.groupBy("field", "value", "form", "entry", "entry_norm", "canon_id", "token", "w").agg(F.max(F.struct(likeness(F.col("edits"), F.col("token"), F.col("meant")).alias("like"), "idf")).alias("m"))
+    of_id = best.groupBy("field", "value", "form", "canon_id", "token").agg(F.max("w").alias("w"), F.max("m.like").alias("like"))
+    covered = of_id.groupBy("field", "value", "form", "canon_id").agg(F.sum(F.col("w") * F.col("w")).alias("_covered"))
+    whole = weighed.groupBy("field", "value", "form").agg(F.sum(F.col("w") * F.col("w")).alias("_whole"))
+    dots = best.groupBy("field", "value", "form", "entry", "entry_norm", "canon_id").agg(
+        F.sum(F.col("m.idf") * F.col("m.idf") * F.col("m.like")).alias("_dot"), F.sum(F.col("m.idf") * F.col("m.idf")).alias("_met")
     )
-    whole = ranked.where((F.col("covered") == F.col("value_words")) & (F.col("covered") == F.col("entry_words")) & (F.col("edits") <= F.when(F.col("entry_letters") < short, 1).otherwise(2)))
-    scored = whole.withColumn("score", F.round(F.col("dot") / (F.col("entry_norm") * F.col("entry_norm")), 6))
-    best = scored.groupBy("field", "value", "typed_form", "canon_id").agg(F.max("score").alias("score")).groupBy("field", "value", "typed_form").agg(F.max("score").alias("score"), F.collect_list(F.struct("score", "canon_id")).alias("_all"))
-    chosen = F.filter("_all", lambda a: a["score"] == F.col("score"))
-    best = best.select("field", "value", "typed_form", "score", F.when(F.size(chosen) == 1, F.element_at(chosen, 1)["canon_id"]).alias("canon_id"))
-    parts = typed.where(F.col("form").startswith("part")).groupBy("field", "value").agg(F.count("*").alias("_parts"))
-    by_form = best.groupBy("field", "value").agg(
-        F.max(F.when(F.col("typed_form") == "words", F.struct("canon_id", "score"))).alias("_w"),
-        F.max(F.when(F.col("typed_form") == "whole", F.struct("canon_id", "score"))).alias("_o"),
-        F.max(F.when(F.col("typed_form") == "plain", F.struct("canon_id", "score"))).alias("_s"),
-        F.count(F.when(F.col("typed_form").startswith("part"), F.col("canon_id"))).alias("_solved"),
-        F.min(F.when(F.col("typed_form").startswith("part"), F.struct("canon_id", "score"))).alias("_p"),
-        F.max(F.when(F.col("typed_form").startswith("part"), F.col("canon_id"))).alias("_q"),
+    loose = F.greatest(F.col("_whole") - F.col("_covered"), F.lit(0.0))  # what the id's names leave of the value
+    scored = dots.join(covered, ["field", "value", "form", "canon_id"]).join(whole, ["field", "value", "form"]).select(
+        "field", "value", "canon_id", (F.col("_dot") / (F.col("entry_norm") * F.sqrt(F.col("_met") + loose))).alias("score")
     )
-    found = values.join(by_form, ["field", "value"], "left").join(parts, ["field", "value"], "left")
-    by_part = F.when((F.col("_solved") == F.col("_parts")) & (F.col("_p.canon_id") == F.col("_q")), F.col("_p"))
-    picked = F.when(F.col("_w.canon_id").isNotNull(), F.col("_w")).when(F.col("_s.canon_id").isNotNull(), F.col("_s")).when(F.col("_o.canon_id").isNotNull(), F.col("_o")).otherwise(by_part)
-    return found.select("field", "value", F.coalesce(picked["canon_id"], F.lit(-1)).cast("bigint").alias("canon_id"), F.coalesce(picked["score"], F.lit(0.0)).alias("score"))
+
+    # glued: the words that have weight, as one, against each name as one, also with its "and" written out
+    glued = weighed.where(F.col("form") == "words").join(F.broadcast(total), "field").groupBy("field", "value", "_n").agg(F.collect_list(F.struct("at", "token", "w")).alias("_l"))
+    heavy = F.filter(F.array_sort("_l"), lambda x: x["w"] >= 0.5 * F.log(1.0 + F.col("_n")))
+    glued = glued.select("field", "value", F.array_join(F.transform(heavy, lambda x: x["token"]), "").alias("token")).where(F.col("token") != "")
+    spelled = F.array(F.col("name"), *(F.regexp_replace("name", r"\s+&\s+", f" {word} ") for word in ("och", "and", "og", "und")))
+    wholes = written(names.select("field", "canon_id", F.explode(F.transform(spelled, lambda n: F.regexp_replace(folded(n), "[^a-z0-9]+", ""))).alias("meant")).distinct(), "wholes")
+    glue = repaired(glued.select("field", "token").distinct(), wholes.select("field", F.col("meant").alias("token")).distinct())
+    at_once = glued.join(glue, ["field", "token"]).join(wholes, ["field", "meant"]).select("field", "value", "canon_id", likeness(F.col("edits"), F.col("token"), F.col("meant")).alias("score"))
+
+    ranked = scored.unionByName(at_once).groupBy("field", "value", "canon_id").agg(F.round(F.max("score"), 6).alias("score"))
+    first = ranked.groupBy("field", "value", "score").agg(F.count("*").alias("_ids"), F.min("canon_id").alias("canon_id"))
+    first = first.groupBy("field", "value").agg(F.max(F.struct("score", "_ids", "canon_id")).alias("b"))
+    found = values.join(first, ["field", "value"], "left")
+    meant = F.when((F.col("b.score") >= least) & (F.col("b._ids") == 1), F.col("b.canon_id"))
+    return found.select("field", "value", F.coalesce(meant, F.lit(-1)).cast("bigint").alias("canon_id"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
 
 
 def reference_names(spark: SparkSession, sf_dir: str) -> DataFrame:

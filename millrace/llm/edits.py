@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def osa(a: str, b: str) -> int:
@@ -27,6 +27,13 @@ def _batch(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="Int32")
 
 
-def osa_distance(a: Column | str, b: Column | str) -> Column:
-    """INT distance of two columns; null if either is null."""
-    return F.pandas_udf(_batch, "int")(a, b)
+def with_edits(pairs: DataFrame, a: str, b: str, most: int, name: str = "edits") -> DataFrame:
+    """The ``pairs`` within ``most`` edits, with their distance.
+
+    Plain edit distance decides all but those a swap could bring nearer: only
+    pairs of two plain edits or more go to Python.
+    """
+    plain = pairs.withColumn(name, F.levenshtein(a, b, 2 * most)).where(F.col(name) >= 0)
+    near = plain.where(F.col(name) <= 1)
+    rest = plain.where(F.col(name) > 1).withColumn(name, F.pandas_udf(_batch, "int")(a, b))
+    return near.unionByName(rest).where(F.col(name) <= most)

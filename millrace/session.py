@@ -134,6 +134,6 @@ def spread(df: DataFrame, key: str, tasks_per_core: int = 4) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
     return df if size >= 2 * cores * split else df.repartition(tasks_per_core * cores, key)

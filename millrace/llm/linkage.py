@@ -16,69 +16,122 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.llm.edits import osa
-from millrace.llm.listing import Attributes, Parser, letters_apart
+from millrace.llm.listing import Attributes, Parsed, Parser, letters_apart
 from millrace.operators.components import components
 from millrace.session import spread, written
 
 FIELDS = Attributes._fields
 #: Outcomes of a comparison by field; 'n' (a side is unknown) says nothing.
 OUTCOMES = {"code": "=xn", "model": "=~xn", "kind": "=xn", "colour": "=xn", "measure": "=xn", "maker": "=~xn"}
-WIDE = 200  # signatures of a block beyond which it is split by measure
 
 
 def parsed(records: DataFrame, key: str, title: str, vendor: str, body: str, skus: str, kinds: list[tuple[int, str]]) -> DataFrame:
-    """(key, code, model, kind, colour, measure, maker, spellings), one row per key; unknown attributes are null.
-
-    ``spellings`` is what may be the model's name where ``model`` is null.
+    """(key, the columns of ``Parsed``), one row per key; unknown attributes are null.
 
     ``kinds`` is the reference list of kinds of goods, of fixed size. Of rows
     with one key the one that tells most counts. Rows without a key are left out.
     """
     type_ = dict(records.dtypes)[key]
     given = spread(records.where(F.col(key).isNotNull()).select(key, title, vendor, body, skus), key)
+    types = {"kind": (pa.int64(), "long"), **dict.fromkeys(("names", "words", "joined"), (pa.list_(pa.string()), "array<string>"))}
+    arrow = [types.get(f, (pa.string(), "string")) for f in Parsed._fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(kinds)
         for batch in batches:
-            texts = list(zip(*(batch.column(i).to_pylist() for i in range(1, 5))))
-            found = [parser.parse(*row) for row in texts]
-            spelled = [parser.spellings(*row[:2]) if a.model is None else None for row, a in zip(texts, found)]
-            columns = list(zip(*found)) or [[]] * len(FIELDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64() if f == "kind" else pa.string()) for f, c in zip(FIELDS, columns)), pa.array(spelled, pa.list_(pa.string()))], names=[key, *FIELDS, "spellings"])
+            found = [parser.parse(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)))]
+            columns = list(zip(*found)) or [[]] * len(arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (t, _) in zip(columns, arrow))], names=[key, *Parsed._fields])
+
+    rows = given.mapInArrow(run, ", ".join((f"`{key}` {type_}", *(f"{f} {t}" for f, (_, t) in zip(Parsed._fields, arrow)))))
+    known = sum((F.col(f).isNotNull().cast("int") for f in ("code", "kind", "colour", "measure", "maker")), F.lit(0))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*Parsed._fields), F.struct(known.alias("known"), *Parsed._fields)).alias("_a")).select(key, "_a.*")
+
+
+def numbered(listings: DataFrame) -> DataFrame:
+    """``listings`` without the article numbers that are a shop's own.
 
-    rows = given.mapInArrow(run, f"`{key}` {type_}, code string, model string, kind long, colour string, measure string, maker string, spellings array<string>")
-    known = sum((F.col(f).isNotNull().cast("int") for f in FIELDS), F.lit(0))
-    return rows.groupBy(key).agg(F.max_by(F.struct(*FIELDS, "spellings"), F.struct(known.alias("known"), *FIELDS, "spellings")).alias("_a")).select(key, "_a.*")
+    Letters before a number that stand with three makers or more, and begin
+    under half of their names, name the shop and not the maker.
+    """
+    led = listings.where((F.col("prefix") != "") & F.col("code").isNotNull() & (F.col("begins") != ""))
+    begun = F.startswith("begins", "prefix") | F.startswith("begins", F.right("prefix", F.lit(2)))
+    shops = led.groupBy("prefix", "begins").agg(F.max(begun.cast("int")).alias("_own")).groupBy("prefix").agg(F.count("*").alias("_n"), F.avg("_own").alias("_share"))
+    shops = shops.where((F.col("_n") >= 3) & (F.col("_share") < 0.5)).select("prefix", F.lit(True).alias("_shop"))
+    return listings.join(shops, "prefix", "left").withColumn("code", F.when(F.col("_shop").isNull(), F.col("code"))).drop("_shop", "prefix", "begins")
 
 
 def _osa(values: pd.Series, others: pd.Series) -> pd.Series:
     return pd.Series([osa(a, b) for a, b in zip(values, others)], dtype="int32")
 
 
-def repaired(attributes: DataFrame, key: str) -> DataFrame:
-    """``attributes`` of ``parsed`` without ``spellings``: an unknown model is the one parsed elsewhere that a spelling is nearest to.
+def modelled(listings: DataFrame, key: str, top: float = 0.25, broad: float = 0.2, enough: int = 10) -> DataFrame:
+    """``listings`` with ``model`` in place of ``words`` and ``joined``: the word that tells a maker's articles apart, learned from all listings.
 
-    A spelling counts within one edit, a swap of neighbours being one; equal
-    forms with up to one letter deleted find every candidate. Models that tie
-    leave it unknown.
+    A word may be a model if one maker has more of its listings than that
+    maker's share of all, by ``top`` of the rest, as trade words and materials
+    are spread over many, and if it is no word of a maker's name anywhere. Of a listing's such words that other listings have as
+    well, two neighbours in the title written as one among them, the one most
+    its maker's own counts, then the most frequent, then the first; but a word that over ``broad`` of a maker's
+    listings have, of ``enough`` or more, is a series and comes last. A model
+    within one edit of another that twice as many listings have, and of no
+    second such, is that one misspelt. A listing with none takes the model that a word of its own is uniquely nearest to
+    within one edit, a swap being one, else its first word that only it has.
     """
+    listed = F.concat("words", F.array_except("joined", "words"))
+    words = written(listings.select(key, F.col("house").alias("maker"), F.size("words").alias("_plain"), F.posexplode(listed).alias("at", "word")), "words")
+    plain_ = words.where(F.col("at") < F.col("_plain"))
+    by_maker = plain_.groupBy("word", "maker").agg(F.count("*").alias("_c"))
+    sizes = listings.where(F.col("house").isNotNull()).groupBy(F.col("house").alias("maker")).agg(F.count("*").alias("_of"))
+    counted = by_maker.join(sizes, "maker", "left").groupBy("word").agg(
+        F.sum("_c").alias("_n"), F.sum(F.when(F.col("maker").isNotNull(), F.col("_c"))).alias("_known"),
+        F.max(F.when(F.col("maker").isNotNull(), F.struct(F.col("_c"), F.col("_of")))).alias("_top"),
+    )
+    makers = listings.select(F.explode("names").alias("word")).distinct()
+    total = sizes.agg(F.sum("_of").alias("_all"))
+    base = F.col("_top._of") / F.col("_all")
+    one = F.col("_top").isNull() | (F.col("_top._c") / F.col("_known") >= base + top * (1.0 - base))
+    series = F.coalesce((F.col("_top._of") >= enough) & (F.col("_top._c") > broad * F.col("_top._of")), F.lit(False))
+    names = written(counted.join(F.broadcast(total)).where(one).join(makers, "word", "left_anti").select("word", "_n", series.alias("_series"), F.round(F.coalesce(F.col("_top._c") / F.col("_known"), F.lit(1.0)), 1).alias("_share")), "names")
+    mine = words.join(names, "word").groupBy(key).agg(
+        F.min(F.when(F.col("_n") > 1, F.struct("_series", -F.col("_share"), -F.col("_n"), "at", "word"))).alias("_shared"), F.min(F.when((F.col("_n") == 1) & (F.col("at") < F.col("_plain")), F.struct("at", "word"))).alias("_lone"), F.collect_set(F.when((F.col("_n") == 1) & (F.col("at") < F.col("_plain")), F.col("word"))).alias("_own")
+    )
+    named = written(listings.join(mine, key, "left").select(key, *(f for f in FIELDS if f != "model"), "_own", "joined", F.col("_shared.word").alias("_m"), F.col("_lone.word").alias("_lone")), "named")
+
     def forms(word: str) -> Column:
         c = F.col(word)
         shorter = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
         return F.explode(F.array_union(F.array(c), shorter)).alias("_form")
 
-    models = attributes.where(F.col("model").isNotNull()).select(F.col("model").alias("_m")).distinct()
-    asked = attributes.where(F.col("model").isNull()).select(F.explode("spellings").alias("_s")).distinct()
-    met = asked.select("_s", forms("_s")).join(models.select("_m", forms("_m")), "_form").select("_s", "_m").distinct()
-    near = met.withColumn("_d", F.pandas_udf(_osa, "int")("_s", "_m")).where(F.col("_d") <= 1)
-    each = attributes.where(F.col("model").isNull()).select(key, F.explode("spellings").alias("_s")).join(near, "_s")
-    at = each.groupBy(key, "_d").agg(F.min("_m").alias("_m"), (F.min("_m") == F.max("_m")).alias("_one"))
-    best = at.groupBy(key).agg(F.min_by(F.struct("_m", "_one"), "_d").alias("_b")).where("_b._one").select(key, F.col("_b._m").alias("_m"))
-    return attributes.join(best, key, "left").withColumn("model", F.coalesce("model", "_m")).drop("_m", "spellings")
+    models = written(named.where(F.length("_m") >= SHORTEST).groupBy("_m").agg(F.count("*").alias("_of")), "models")
+    longest = models.agg((F.max(F.length("_m")) + 1).alias("_longest"))
+    own = named.where(F.col("_m").isNull()).select(key, F.explode(F.array_union(F.coalesce("_own", "joined"), "joined")).alias("_s"), F.lit(0).alias("_held"))
+    rare = models.select(F.col("_m").alias("_s"), F.col("_of").alias("_held"))
+    asked = own.select("_s").union(rare.select("_s")).distinct().join(F.broadcast(longest)).where((F.length("_s") >= SHORTEST - 1) & (F.length("_s") <= F.col("_longest")))  # one row
+    met = asked.select("_s", forms("_s")).join(models.select("_m", "_of", forms("_m")), "_form").select("_s", "_m", "_of").distinct()
+    near = written(met.withColumn("_d", F.pandas_udf(_osa, "int")("_s", "_m")).where(F.col("_d") <= 1), "near")
+
+    def nearest(spelled: DataFrame, by: str) -> DataFrame:
+        at = spelled.join(near, "_s").where(F.col("_of") >= 2 * F.col("_held")).where((F.col("_held") == 0) | (F.col("_d") > 0)).groupBy(by, "_d").agg(F.min("_m").alias("_m"), (F.min("_m") == F.max("_m")).alias("_one"))
+        return at.groupBy(by).agg(F.min_by(F.struct("_m", "_one"), "_d").alias("_b")).where("_b._one").select(by, F.col("_b._m").alias("_r"))
+
+    mended = nearest(rare, "_s").withColumnsRenamed({"_s": "_m", "_r": "_mended"})
+    out = named.join(nearest(own, key), key, "left").join(mended, "_m", "left")
+    return out.withColumn("model", F.coalesce("_mended", "_m", "_r", "_lone")).select(key, *FIELDS)
+
+
+SHORTEST = 5  # letters of a model that may be misspelt
+CHUNK = 200  # signatures of a block that one task compares with as many
 
 
 def _blocks(signatures: DataFrame) -> DataFrame:
-    """(block, signature id and fields): equal article number, or equal model with equal colour or measure, or all but a letter of the model."""
+    """(block, part, side, signature id and fields): equal article number; equal model with equal colour or measure; all but a letter of the model; equal maker, kind, colour and measure.
+
+    A block of more than CHUNK signatures is cut by their hash, and each two
+    pieces of it are a part of their own, with ``side`` 0, 1 or, where both are
+    one piece, 2. So all pairs of a block are compared whatever its size, and
+    no task holds more than two pieces.
+    """
     def key(name: str, *parts: Column) -> Column:
         whole = F.concat_ws("\x1f", F.lit(name), *(p.cast("string") for p in parts))
         known = F.lit(True)
@@ -92,13 +145,14 @@ def _blocks(signatures: DataFrame) -> DataFrame:
         c["model"].isNotNull() & c["colour"].isNotNull() & c["measure"].isNotNull() & c["kind"].isNotNull(),
         F.transform(F.array_distinct(spelled), lambda s: F.xxhash64(F.concat_ws("\x1f", F.lit("near"), s, "colour", "measure", F.col("kind").cast("string")))),
     )
-    exact = F.array(key("code", c["code"]), key("colour", c["model"], c["colour"]), key("measure", c["model"], c["measure"]))
+    exact = F.array(key("code", c["code"]), key("colour", c["model"], c["colour"]), key("measure", c["model"], c["measure"]), key("bare", c["maker"], c["kind"], c["colour"], c["measure"]))
     keyed = signatures.withColumn("block", F.explode(F.array_distinct(F.array_compact(F.concat(exact, F.coalesce(near, F.array().cast("array<bigint>")))))))
-    sizes = keyed.groupBy("block").agg(F.count("*").alias("_n"), F.collect_set("measure").alias("_measures")).where(F.col("_n") > 1)
-    keyed = keyed.join(sizes, "block")
-    # a wide block is split by measure; signatures of unknown measure go to each of its parts
-    part = F.when(F.col("_n") <= WIDE, F.array(F.lit(""))).when(F.col("measure").isNotNull(), F.array("measure")).otherwise(F.array_union("_measures", F.array(F.lit(""))))
-    return keyed.withColumn("_part", F.explode(part)).drop("_n", "_measures")
+    sizes = keyed.groupBy("block").agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    keyed = keyed.join(sizes, "block").withColumn("_pieces", F.ceil(F.col("_n") / CHUNK).cast("int")).withColumn("_mine", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("_pieces")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("_pieces") - 1), lambda o: F.struct(
+        F.least("_mine", o).alias("i"), F.greatest("_mine", o).alias("j"), F.when(o == F.col("_mine"), 2).when(F.col("_mine") < o, 0).otherwise(1).alias("side"),
+    ))
+    return keyed.withColumn("_o", F.explode(others)).select("block", F.struct("_o.i", "_o.j").alias("_part"), F.col("_o.side").alias("_side"), "sig", *FIELDS)
 
 
 def _compare(values: pd.DataFrame, others: pd.DataFrame) -> pd.Series:
@@ -151,55 +205,69 @@ def fit(counts: dict[str, int], rounds: int = 100) -> dict[str, float]:
     return match
 
 
-def _conflicts(pattern: str) -> bool:
-    """What the definition of an article forbids, whatever the weight: other colour, measure, kind, maker or model."""
-    code, model, kind, colour, measure, maker = pattern
-    if colour == "x" or measure == "x" or code == "x":
-        return True
-    return code != "=" and (model in "xn" or kind == "x" or maker == "x")
-
-
 def links(signatures: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(a, b) of linked signature ids, a < b: ``signatures`` has ``sig`` and the fields."""
+    """(a, b, named) of linked signature ids: ``signatures`` has ``sig`` and the fields, ``named`` says whether a number or model was compared. A pair is linked if its pattern's fitted probability is ``threshold`` or more, and by nothing else."""
     blocks = written(_blocks(signatures), "blocks")
-    left = blocks.select("block", "_part", F.col("sig").alias("a"), F.struct(*FIELDS).alias("_l"))
-    right = blocks.select("block", "_part", F.col("sig").alias("b"), F.struct(*FIELDS).alias("_r"))
-    met = left.join(right, ["block", "_part"]).where(F.col("a") < F.col("b"))
+    left = blocks.where(F.col("_side") != 1).select("block", "_part", "_side", F.col("sig").alias("a"), F.struct(*FIELDS).alias("_l"))
+    right = blocks.where(F.col("_side") != 0).select("block", "_part", F.col("sig").alias("b"), F.struct(*FIELDS).alias("_r"))
+    met = left.join(right, ["block", "_part"]).where((F.col("_side") != 2) | (F.col("a") < F.col("b")))
+    in_order = F.col("a") < F.col("b")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(in_order, F.col("_l")).otherwise(F.col("_r")).alias("_l"), F.when(in_order, F.col("_r")).otherwise(F.col("_l")).alias("_r"))
     pairs = met.groupBy("a", "b").agg(F.first("_l").alias("_l"), F.first("_r").alias("_r"))
     compare = F.pandas_udf(_compare, "string")
     patterns = written(pairs.select("a", "b", compare("_l", "_r").alias("pattern")), "patterns")
     counts = {r["pattern"]: r["count"] for r in patterns.groupBy("pattern").count().collect()}
-    good = [p for p, chance in fit(counts).items() if chance >= threshold and not _conflicts(p)]
-    return patterns.where(F.col("pattern").isin(good)).select("a", "b")
+    good = [p for p, chance in fit(counts).items() if chance >= threshold]
+    named = F.substring("pattern", 1, 2) != "nn"
+    return patterns.where(F.col("pattern").isin(good)).select("a", "b", named.alias("named"))
 
 
 def same_items(attributes: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
-    """(key, item): listings that describe one item share ``item``; listings without a partner are left out.
+    """(key, item): listings that describe one item share ``item``; one without a partner is an item of its own.
 
-    Equal signatures are one before anything is compared. A signature that has
-    neither an article number nor a model name identifies nothing and links
-    nothing. Ties can't arise: items are named by their smallest signature.
+    Equal signatures are one before anything is compared, but for those that
+    know neither an article number nor a model: these are told apart by key.
+    Ties can't arise: items are named by their smallest signature.
     """
-    known = attributes.where(F.col("code").isNotNull() | F.col("model").isNotNull())
-    signed = written(known.withColumn("sig", F.xxhash64(*(F.coalesce(F.col(f).cast("string"), F.lit("\x00")) for f in FIELDS))), "signed")
+    bare = F.when(F.col("code").isNull() & F.col("model").isNull(), F.col(key).cast("string"))
+    signed = written(attributes.withColumn("sig", F.xxhash64(*(F.coalesce(F.col(f).cast("string"), F.lit("\x00")) for f in FIELDS), F.coalesce(bare, F.lit("")))), "signed")
     signatures = signed.groupBy("sig").agg(*(F.first(f).alias(f) for f in FIELDS))
-    found = components(links(signatures, threshold), "a", "b")
-    return signed.join(found.withColumnRenamed("node", "sig"), "sig", "left").select(key, "sig", *FIELDS, F.coalesce("component", "sig").alias("item"))
+    found = written(links(signatures, threshold), "links")
+    items = signatures.select("sig").join(components(found.where("named"), "a", "b").withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("component", "sig").alias("item"))
+    # what names nothing joins the one item it is linked to, and none if there are several
+    ends = F.explode(F.array(F.struct(F.col("a").alias("sig"), F.col("b").alias("of")), F.struct(F.col("b").alias("sig"), F.col("a").alias("of"))))
+    bare = signatures.where(F.col("code").isNull() & F.col("model").isNull()).select("sig")
+    loose = found.where(~F.col("named")).select(ends.alias("e")).select("e.sig", "e.of").join(bare, "sig").join(bare.withColumnRenamed("sig", "of"), "of", "left_anti")
+    joined = loose.join(items.withColumnRenamed("sig", "of"), "of").groupBy("sig").agg(F.min("item").alias("_i"), F.max("item").alias("_j")).where(F.col("_i") == F.col("_j")).select("sig", "_i")
+    return signed.join(items, "sig").join(joined, "sig", "left").select(key, "sig", *FIELDS, F.coalesce("_i", "item").alias("item"))
 
 
 def item_pairs(members: DataFrame, key: str) -> DataFrame:
-    """(a, b), a < b: pairs of one item's listings that don't contradict each other in number, colour or measure.
+    """(a, b), a < b: pairs of one item's listings, after an exact check of what an article is.
 
-    A listing whose colour or measure is unknown pairs by its other fields only
-    if its item has one such value; with several it could be any of them.
+    Listings of one article number agree in colour and measure; others in kind
+    and, but for a misspelling, in model too. Where colour or measure is unknown
+    the pair stands if all listings of the item that share the other and the
+    model, or all where these are unknown as well, have one such value; with several it could be
+    any of them.
     """
-    only = members.groupBy("item").agg(F.countDistinct("colour").alias("_colours"), F.countDistinct("measure").alias("_measures"), F.count("*").alias("_n")).where(F.col("_n") > 1).drop("_n")
-    side = lambda name: members.select("item", F.col(key).alias(name), F.struct(*FIELDS).alias(f"_{name}"))
-    both = side("a").join(only, "item").join(side("b"), "item").where(F.col("a") < F.col("b"))
-    same = {f: F.col(f"_a.{f}") == F.col(f"_b.{f}") for f in ("code", "colour", "measure")}
+    fields = {"colour": "measure", "measure": "colour"}
+    sizes = members.groupBy("item").agg(F.count("*").alias("_n"), *(F.countDistinct(f).alias(f"_all_{f}") for f in fields)).where(F.col("_n") > 1).drop("_n")
+    held = members.join(sizes, "item")
+    for f, other in fields.items():
+        its = members.where(F.col(other).isNotNull() & F.col("model").isNotNull()).groupBy("item", "model", other).agg(F.countDistinct(f).alias(f"_its_{f}"))
+        held = held.join(its, ["item", "model", other], "left")
+    counts = [F.coalesce(f"_its_{f}", f"_all_{f}").alias(f"_ways_{f}") for f in fields]
+    side = lambda name: held.select("item", F.col(key).alias(name), F.struct(*FIELDS, *counts).alias(f"_{name}"))
+    both = side("a").join(side("b"), "item").where(F.col("a") < F.col("b"))
+    same = {f: F.col(f"_a.{f}") == F.col(f"_b.{f}") for f in ("code", "kind", *fields)}
     numbered = F.coalesce(same["code"], F.lit(False))
-    agree = F.coalesce(same["code"], F.lit(True)) & F.coalesce(same["colour"], numbered | (F.col("_colours") < 2)) & F.coalesce(same["measure"], numbered | (F.col("_measures") < 2))
-    return both.where(agree & (numbered | (F.col("_a.model").isNotNull() & F.col("_b.model").isNotNull()))).select("a", "b").distinct()
+    only = {f: F.greatest(f"_a._ways_{f}", f"_b._ways_{f}") < 2 for f in fields}
+    agree = F.coalesce(same["code"], F.lit(True))
+    for f in fields:
+        agree = agree & F.coalesce(same[f], numbered | only[f])
+    models = F.coalesce(F.levenshtein(F.col("_a.model"), F.col("_b.model"), 2) >= 0, F.lit(True))  # a swap is two
+    return both.where(agree & (numbered | models & F.coalesce(same["kind"], F.lit(True)))).select("a", "b").distinct()
 
 
 def listing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +275,7 @@ def listing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/canon_value.parquet").where(F.col("field_name") == "product_type").select("canon_id", F.explode(F.concat(F.array("name"), F.coalesce("alt_names", F.array().cast("array<string>"))))).collect()]
     records = spark.read.parquet(f"{sf_dir}/product_record.parquet")
     attributes = written(parsed(records, "product_id", "title", "vendor", "body_html", "skus", kinds), "attributes")
-    return same_items(repaired(attributes, "product_id"), "product_id")
+    return same_items(modelled(numbered(attributes), "product_id"), "product_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Attributes of a product listing, parsed from its title, body and article number, in canonical units."""
+"""Attributes of a product listing, parsed from its title, body and article numbers, in canonical units.
+
+What of a listing may name the model is only gathered here: which of its words
+does is learned from all listings (``linkage.modelled``).
+"""
 
 from __future__ import annotations
 
@@ -25,12 +29,10 @@ COLOURS = {
 }
 _PLURALS = ("ern", "er", "en", "or", "ar", "es", "e", "n", "r", "s", "a")
 _ACCENTS = str.maketrans("åäâàáãöøôòóõüûùúéèêëíìîïñçæ", "aaaaaaoooooouuuueeeeiiiinca")
-_MODEL = re.compile(r"(?<![^\W_])((?:[bcdfghjklmnprstvz][aeiou]){2}-?(?:[bcdfghjklmnprstvz][aeiou]){2})(?![^\W_])")
-MODEL_LETTERS = 8
 _MEASURE = re.compile(r"(?<![\w*<>.,])(\d+(?:[.,]\d+)?)\s?(kg/m²|kg/m2|g/m²|g/m2|gsm|mm|cm|ml|cl|dl|m|l|liter|litres?|litre)(?![\w²/])", re.I)
 _UNITS = {"kg/m²": ("w", 1000), "kg/m2": ("w", 1000), "g/m²": ("w", 1), "g/m2": ("w", 1), "gsm": ("w", 1), "mm": ("l", 1), "cm": ("l", 10), "m": ("l", 1000), "ml": ("v", 1), "cl": ("v", 10), "dl": ("v", 100), "l": ("v", 1000), "liter": ("v", 1000), "litre": ("v", 1000), "litres": ("v", 1000)}
-_CODE = re.compile(r"(?<!\d)(\d{5})[ -]?(\d{2})(?!\d)")
-_OWN = re.compile(r"^store-", re.I)
+_WORD = re.compile(r"[^\W_]*[^\W\d_][^\W_]*")
+SHORTEST_NUMBER = 4  # digits of an article number
 _MAKER_NOISE = frozenset("ab aps as gmbh inc ltd sweden official brand varumarke by wear and och og und co".split())
 
 
@@ -69,6 +71,32 @@ class Attributes(NamedTuple):
     maker: str | None
 
 
+class Parsed(NamedTuple):
+    """A listing's attributes but for the model; ``prefix`` is the letters before the article number, ``begins`` how the maker's name begins, ``house`` two letters that stand for it however it is spelled, ``names`` its words, ``words`` what may name the model, in order of the title, then the body, ``joined`` neighbours in the title written as one."""
+
+    code: str | None
+    prefix: str
+    kind: int | None
+    colour: str | None
+    measure: str | None
+    maker: str | None
+    begins: str
+    house: str | None
+    names: list[str]
+    words: list[str]
+    joined: list[str]
+
+
+def article_number(skus: list[str | None] | None) -> tuple[str | None, str]:
+    """The digits that all of a listing's article numbers share, whatever stands between them, and the letters before; null if they are too few."""
+    parts = [re.findall(r"[^\W\d_]+|\d+", sku) for sku in skus or () if sku]
+    if not parts:
+        return None, ""
+    first = next((i for i, g in enumerate(parts[0]) if g.isdigit()), len(parts[0]))
+    digits = "".join(g for g in parts[0] if g.isdigit() and all(g in other for other in parts[1:]))
+    return digits if len(digits) >= SHORTEST_NUMBER else None, plain("".join(parts[0][:first]))
+
+
 class Parser:
     """Parses listings; ``kinds`` are the (id, name) pairs of the reference list's kinds of goods in all languages."""
 
@@ -104,41 +132,30 @@ class Parser:
             self.heads[word] = next(((len(word) - cut, self.single[word[cut:]]) for cut in range(1, len(word) - 2) if word[cut:] in self.single), None)
         return self.heads[word]
 
-    def spellings(self, title: str | None, vendor: str | None) -> list[str]:
-        """What of a title may be a misspelt or divided model name: words and joined neighbours that differ in length from one by a letter at most.
+    def _open(self, text: str, makers: set[str]) -> list[str]:
+        """The words of a text, '' in place of those that are known to be something else: maker, kind, colour, measure."""
+        found = _COLOUR_RE.sub(" | ", plain(_MEASURE.sub(" | ", text)))
+        words = [w.replace("-", "") for w in re.findall(r"[^\W_]+(?:-[^\W_]+)*|[^\s\w-]", found)]
+        return [w if _WORD.fullmatch(w) and len(w) > 1 and w not in makers and (s := stem(w)) not in self.single and not self._head(s) else "" for w in words]
 
-        Words of the maker, kinds of one word, colours and measures are left out and join nothing.
-        """
-        makers = set(_LETTERS.findall(plain(vendor or "")))
-        text = _COLOUR_RE.sub(" | ", plain(_MEASURE.sub(" | ", title or "")))
-        words = []
-        for word in re.findall(r"[^\W\d_]+|[^\s\w-]|\d+", text):
-            s = stem(word)
-            words.append(word if word.isalpha() and word not in makers and s not in self.single and not self._head(s) else "")
-        joined = [a + b for a, b in zip(words, words[1:]) if a and b]
-        return sorted({w for w in words + joined if abs(len(w) - MODEL_LETTERS) <= 1})
-
-    def parse(self, title: str | None, vendor: str | None, body: str | None, skus: list[str | None] | None) -> Attributes:
+    def parse(self, title: str | None, vendor: str | None, body: str | None, skus: list[str | None] | None) -> Parsed:
         title = title or ""
-        found = blocks(body)
         # the paragraph that describes the article is the first that names a colour
         about, colour = "", None
-        for kind, text, _ in found:
+        for kind, text, _ in blocks(body):
             if kind == PARA and (m := _COLOUR_RE.search(plain(text))):
                 about, colour = text, _COLOUR[m[1]]
                 break
         if colour is None and (m := _COLOUR_RE.search(plain(title))):
             colour = _COLOUR[m[1]]
-        models = [m[1].replace("-", "") for m in _MODEL.finditer(plain(about))] or [m[1].replace("-", "") for m in _MODEL.finditer(plain(title))]
-        code = None
-        for sku in skus or ():
-            if sku and not _OWN.match(sku) and (m := _CODE.search(sku)):
-                code = m[1] + m[2]
-                break
         kind = self.kind(title)
         if kind is None:
             kind = self.kind(about)
-        return Attributes(code, models[0] if models else None, kind, colour, measure(title) or measure(about), maker(vendor))
+        makers = set(_LETTERS.findall(plain(vendor or "")))
+        named = self._open(title, makers)
+        joined = [a + b for a, b in zip(named, named[1:]) if a and b]
+        words = list(dict.fromkeys(w for w in (*named, *self._open(about, makers)) if w))
+        return Parsed(*article_number(skus), kind, colour, measure(title) or measure(about), maker(vendor), plain("".join(_LETTERS.findall(vendor or "")))[:8], house(vendor), sorted(makers), words, joined)
 
 
 def measure(text: str) -> str | None:
@@ -159,6 +176,12 @@ def maker(vendor: str | None) -> str | None:
     return "".join(sorted("".join(words))) or None
 
 
+def house(vendor: str | None) -> str | None:
+    """The first two letters of the alphabetically first word of a maker's name: few misspellings and no order or joint of words change them."""
+    words = [w for w in _LETTERS.findall(plain(vendor or "")) if w not in _MAKER_NOISE]
+    return min(words)[:2] if words else None
+
+
 def letters_apart(a: str, b: str) -> int:
     """Letters that one multiset has and the other lacks, the larger side."""
     i = j = left = right = 0

@@ -19,13 +19,14 @@ import base64
 import re
 from array import array
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.llm.recent import Recent
 from millrace.session import spread
 
 #: The published pre-splitting pattern of the 50k byte-level vocabularies (fixed value).
@@ -41,24 +42,6 @@ def read_ranks(path: str) -> list[bytes]:
     return [t for _, t in pairs]
 
 
-class Recent(dict):
-    """A mapping of about ``size`` entries at most: of those made longest ago the ones not asked for since are forgotten."""
-
-    def __init__(self, make: Callable, size: int):
-        super().__init__()
-        self.make, self.size, self.old = make, size, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.size // 2:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class TokenAutomaton:
     """The automaton of a vocabulary whose ids are its merge ranks, bytes first."""
 

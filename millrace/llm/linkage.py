@@ -9,6 +9,7 @@ the counts of all comparison patterns; links above a threshold are clustered.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log
 
 import pandas as pd
@@ -25,6 +26,12 @@ FIELDS = Attributes._fields
 OUTCOMES = {"code": "=xn", "model": "=~xn", "kind": "=xn", "colour": "=xn", "measure": "=xn", "maker": "=~xn"}
 
 
+@lru_cache(maxsize=1)
+def _parser(kinds: tuple[tuple[int, str], ...]) -> Parser:
+    """The parser of a list of kinds, made once in a worker."""
+    return Parser(list(kinds))
+
+
 def parsed(records: DataFrame, key: str, title: str, vendor: str, body: str, skus: str, kinds: list[tuple[int, str]]) -> DataFrame:
     """(key, the columns of ``Parsed``), one row per key; unknown attributes are null.
 
@@ -37,7 +44,7 @@ def parsed(records: DataFrame, key: str, title: str, vendor: str, body: str, sku
     arrow = [types.get(f, (pa.string(), "string")) for f in Parsed._fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = Parser(kinds)
+        parser = _parser(tuple(kinds))
         for batch in batches:
             found = [parser.parse(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)))]
             columns = list(zip(*found)) or [[]] * len(arrow)
@@ -79,7 +86,7 @@ def modelled(listings: DataFrame, key: str, top: float = 0.25, broad: float = 0.
     within one edit, a swap being one, else its first word that only it has.
     """
     listed = F.concat("words", F.array_except("joined", "words"))
-    words = written(listings.select(key, F.col("house").alias("maker"), F.size("words").alias("_plain"), F.posexplode(listed).alias("at", "word")), "words")
+    words = listings.select(key, F.col("house").alias("maker"), F.size("words").alias("_plain"), F.posexplode(listed).alias("at", "word"))
     plain_ = words.where(F.col("at") < F.col("_plain"))
     by_maker = plain_.groupBy("word", "maker").agg(F.count("*").alias("_c"))
     sizes = listings.where(F.col("house").isNotNull()).groupBy(F.col("house").alias("maker")).agg(F.count("*").alias("_of"))
@@ -92,7 +99,7 @@ def modelled(listings: DataFrame, key: str, top: float = 0.25, broad: float = 0.
     base = F.col("_top._of") / F.col("_all")
     one = F.col("_top").isNull() | (F.col("_top._c") / F.col("_known") >= base + top * (1.0 - base))
     series = F.coalesce((F.col("_top._of") >= enough) & (F.col("_top._c") > broad * F.col("_top._of")), F.lit(False))
-    names = written(counted.join(F.broadcast(total)).where(one).join(makers, "word", "left_anti").select("word", "_n", series.alias("_series"), F.round(F.coalesce(F.col("_top._c") / F.col("_known"), F.lit(1.0)), 1).alias("_share")), "names")
+    names = counted.join(F.broadcast(total)).where(one).join(makers, "word", "left_anti").select("word", "_n", series.alias("_series"), F.round(F.coalesce(F.col("_top._c") / F.col("_known"), F.lit(1.0)), 1).alias("_share"))
     mine = words.join(names, "word").groupBy(key).agg(
         F.min(F.when(F.col("_n") > 1, F.struct("_series", -F.col("_share"), -F.col("_n"), "at", "word"))).alias("_shared"), F.min(F.when((F.col("_n") == 1) & (F.col("at") < F.col("_plain")), F.struct("at", "word"))).alias("_lone"), F.collect_set(F.when((F.col("_n") == 1) & (F.col("at") < F.col("_plain")), F.col("word"))).alias("_own")
     )
@@ -231,7 +238,7 @@ def same_items(attributes: DataFrame, key: str, threshold: float = 0.5) -> DataF
     """
     bare = F.when(F.col("code").isNull() & F.col("model").isNull(), F.col(key).cast("string"))
     signed = written(attributes.withColumn("sig", F.xxhash64(*(F.coalesce(F.col(f).cast("string"), F.lit("\x00")) for f in FIELDS), F.coalesce(bare, F.lit("")))), "signed")
-    signatures = signed.groupBy("sig").agg(*(F.first(f).alias(f) for f in FIELDS))
+    signatures = written(signed.groupBy("sig").agg(*(F.first(f).alias(f) for f in FIELDS)), "signatures")
     found = written(links(signatures, threshold), "links")
     items = signatures.select("sig").join(components(found.where("named"), "a", "b").withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("component", "sig").alias("item"))
     # what names nothing joins the one item it is linked to, and none if there are several

@@ -11,6 +11,7 @@ from functools import lru_cache
 from typing import NamedTuple
 
 from millrace.llm.markup import PARA, blocks
+from millrace.llm.recent import Recent
 
 #: The colour of each spelling (fixed values: the shops' palettes in Swedish, English, Danish and German).
 COLOURS = {
@@ -31,6 +32,7 @@ _PLURALS = ("ern", "er", "en", "or", "ar", "es", "e", "n", "r", "s", "a")
 _ACCENTS = str.maketrans("åäâàáãöøôòóõüûùúéèêëíìîïñçæ", "aaaaaaoooooouuuueeeeiiiinca")
 _MEASURE = re.compile(r"(?<![\w*<>.,])(\d+(?:[.,]\d+)?)\s?(kg/m²|kg/m2|g/m²|g/m2|gsm|mm|cm|ml|cl|dl|m|l|liter|litres?|litre)(?![\w²/])", re.I)
 _UNITS = {"kg/m²": ("w", 1000), "kg/m2": ("w", 1000), "g/m²": ("w", 1), "g/m2": ("w", 1), "gsm": ("w", 1), "mm": ("l", 1), "cm": ("l", 10), "m": ("l", 1000), "ml": ("v", 1), "cl": ("v", 10), "dl": ("v", 100), "l": ("v", 1000), "liter": ("v", 1000), "litre": ("v", 1000), "litres": ("v", 1000)}
+_PIECE = re.compile(r"[^\W_]+(?:-[^\W_]+)*|[^\s\w-]")
 _WORD = re.compile(r"[^\W_]*[^\W\d_][^\W_]*")
 SHORTEST_NUMBER = 4  # digits of an article number
 _MAKER_NOISE = frozenset("ab aps as gmbh inc ltd sweden official brand varumarke by wear and och og und co".split())
@@ -38,6 +40,8 @@ _MAKER_NOISE = frozenset("ab aps as gmbh inc ltd sweden official brand varumarke
 
 def plain(text: str) -> str:
     """Lower case without accents, so that compounds and umlaut plurals compare."""
+    if text.isascii():
+        return text.lower()
     return text.lower().translate(_ACCENTS).replace("ß", "ss").replace("́", "").replace("̈", "").replace("̊", "")
 
 
@@ -110,6 +114,8 @@ class Parser:
             elif stems:
                 self.phrases[stems] = i
         self.heads: dict[str, tuple[int, int] | None] = {}
+        #: Whether a word may name a model: it has letters and is no kind of goods.
+        self.says = Recent(lambda w: len(w) > 1 and bool(_WORD.fullmatch(w)) and (s := stem(w)) not in self.single and not self._head(s), 400_000)
         self.longest = max(map(len, self.phrases), default=1)
 
     def kind(self, text: str) -> int | None:
@@ -135,8 +141,8 @@ class Parser:
     def _open(self, text: str, makers: set[str]) -> list[str]:
         """The words of a text, '' in place of those that are known to be something else: maker, kind, colour, measure."""
         found = _COLOUR_RE.sub(" | ", plain(_MEASURE.sub(" | ", text)))
-        words = [w.replace("-", "") for w in re.findall(r"[^\W_]+(?:-[^\W_]+)*|[^\s\w-]", found)]
-        return [w if _WORD.fullmatch(w) and len(w) > 1 and w not in makers and (s := stem(w)) not in self.single and not self._head(s) else "" for w in words]
+        says, words = self.says, [w.replace("-", "") for w in _PIECE.findall(found)]
+        return [w if says[w] and w not in makers else "" for w in words]
 
     def parse(self, title: str | None, vendor: str | None, body: str | None, skus: list[str | None] | None) -> Parsed:
         title = title or ""

@@ -16,7 +16,7 @@ from millrace.operators.lexicon import Lexicon
 from millrace.plans.report import page
 from millrace.session import read_small, written
 from millrace.sources import native as shop
-from millrace.sources.http import Fetcher, RequestProfile
+from millrace.sources.http import Pages, Visitor
 from millrace.sources.snapshot import check_snapshot, read_json, read_snapshot, write_json, write_small
 
 LABELS = {"bm25": "BM25", "bm25-compound": "BM25+Compound", "bm25-lex": "BM25+Lex"}
@@ -57,7 +57,7 @@ def held_out(other: dict) -> dict:
     return {"queries": other["queries"], "systems": {n: {k: s[k] for k in ("label", "answerable_ndcg", "absent_returned")} for n, s in other["systems"].items()}}
 
 
-def run(spark: SparkSession, snapshot: str, manifest: str, queries: str, out: str, capture: Fetcher | None = None, host: str | None = None, holdout: str | None = None, example_ids: tuple[str, ...] = (), now: str | None = None) -> dict:
+def run(spark: SparkSession, snapshot: str, manifest: str, queries: str, out: str, capture: Pages | None = None, host: str | None = None, holdout: str | None = None, example_ids: tuple[str, ...] = (), now: str | None = None, site: str | None = None) -> dict:
     """Scores the systems over a query set file and writes runs, run specs, scorecard and page to ``out``.
 
     The snapshot must have the digest its manifest states. With ``capture`` the
@@ -71,7 +71,7 @@ def run(spark: SparkSession, snapshot: str, manifest: str, queries: str, out: st
     k_run, k_eval, label = int(asked_set.get("k_run", 20)), int(asked_set.get("k_eval", 10)), asked_set.get("short_label") or "Store"
     asked = spark.createDataFrame([(q["id"], q["query"], q["stratum"]) for q in asked_queries], "query_id string, query string, stratum string")
     runs, lexicon = local_runs(records, asked, k_run)
-    overlap = {"mapped": 0, "unmapped": 0}
+    overlap, replayed = {"mapped": 0, "unmapped": 0}, None
     if capture is not None:
         host = host or asked_set.get("host")
         if not host:
@@ -107,9 +107,11 @@ def run(spark: SparkSession, snapshot: str, manifest: str, queries: str, out: st
     for system in LABELS:
         write_json(spark, f"{out}/runspec-{system}.json", run_spec(system, k_run, k_eval, lexicon))
     for system in systems:
-        write_json(spark, f"{out}/run-{system}.json", {"system": system, "queries": listed(runs, system, asked_queries)})
+        known = shop.artifact(replayed, asked_queries, host, k_run) if system == NATIVE and replayed is not None else {}
+        write_json(spark, f"{out}/run-{system}.json", {"system": system, "queries": listed(runs, system, asked_queries)} | known)
     write_json(spark, f"{out}/scorecard.json", card)
-    write_small(spark, f"{out}/index.html", page(card), overwrite=True)
+    for folder in (out, site) if site else (out,):
+        write_small(spark, f"{folder}/index.html", page(card), overwrite=True)
     return card
 
 
@@ -117,15 +119,16 @@ def main() -> None:
     p = argparse.ArgumentParser(description="Score rankings of a catalog snapshot.")
     for name in ("snapshot", "manifest", "queries", "out"):
         p.add_argument(f"--{name}", required=True)
-    for name in ("holdout", "host", "cache"):
+    for name in ("holdout", "host", "cache", "site"):
         p.add_argument(f"--{name}")
+    p.add_argument("--example", action="append", default=[], help="id of a query whose results are shown side by side")
     p.add_argument("--capture-native", action="store_true")
     a = p.parse_args()
     spark = SparkSession.builder.appName("millrace-benchmark").getOrCreate()
     fetcher = None
     if a.capture_native:
-        fetcher = Fetcher(a.cache or "cache", RequestProfile(**read_json(spark, a.manifest)["request_profile"]), delay=5.0)
-    card = run(spark, a.snapshot, a.manifest, a.queries, a.out, fetcher, a.host, a.holdout)
+        fetcher = Pages(spark, a.cache or f"{a.out}/pages", Visitor(**read_json(spark, a.manifest)["request_profile"]), pause=5.0)
+    card = run(spark, a.snapshot, a.manifest, a.queries, a.out, fetcher, a.host, a.holdout, tuple(a.example), site=a.site)
     for s in card["systems"].values():
         print(f"{s['label']}: nDCG {s['answerable_ndcg']:.3f}, P {s['precision']:.3f}, on absent queries {s['absent_returned']}")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from millrace.operators import catalog
 from millrace.session import file_system, written
 from millrace.sources.crawl import crawl_verified
-from millrace.sources.http import Fetcher, RequestProfile
+from millrace.sources.http import Pages, Visitor
 from millrace.sources.snapshot import ArtifactExists, open_store, save_store, snapshot_digest, write_json, write_snapshot
 
 
@@ -42,7 +42,7 @@ def sync_store(spark: SparkSession, path: str, records: DataFrame, now: str, mar
     return report
 
 
-def ingest(spark: SparkSession, host: str, data: str, artifacts: str, run_id: str, profile: RequestProfile, fetcher: Fetcher | None = None, now: str | None = None, attempt: str | None = None, **gates) -> IngestResult:
+def ingest(spark: SparkSession, host: str, data: str, artifacts: str, run_id: str, visitor: Visitor, pages: Pages | None = None, now: str | None = None, attempt: str | None = None, **gates) -> IngestResult:
     """One verified crawl: snapshot, then manifest, then the store, so the store is never ahead of the files.
 
     A run id names one snapshot for good. If the manifest can't be written its
@@ -54,14 +54,14 @@ def ingest(spark: SparkSession, host: str, data: str, artifacts: str, run_id: st
         fs, where = file_system(spark, path)
         if fs.exists(where):
             raise ArtifactExists(path)
-    fetcher = fetcher or Fetcher(f"{data}/cache", profile)
-    if fetcher.profile != profile:
-        raise ValueError("the fetcher has another request profile")
+    pages = pages or Pages(spark, f"{data}/pages", visitor)
+    if pages.visitor != visitor:
+        raise ValueError("the pages are another visitor's")
     previous = catalog.live_count(open_store(spark, store).product_state) or None
-    records, core = crawl_verified(spark, fetcher, host, attempt, previous=previous, **gates)
+    records, core = crawl_verified(spark, pages, host, attempt, previous=previous, **gates)
     records = written(records, "crawl")
     write_snapshot(records, snapshot)
-    manifest = core | {"domain": host, "run_id": run_id, "attempt_id": attempt, "crawled_at": now, "request_profile": asdict(profile), "snapshot_sha256": snapshot_digest(spark, snapshot)}
+    manifest = core | {"domain": host, "run_id": run_id, "attempt_id": attempt, "crawled_at": now, "request_profile": asdict(visitor), "snapshot_sha256": snapshot_digest(spark, snapshot)}
     try:
         write_json(spark, manifest_path, manifest, new=True)
     except Exception:
@@ -83,7 +83,7 @@ def main() -> None:
     p.add_argument("--run-id", default=datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ"))
     a = p.parse_args()
     spark = SparkSession.builder.appName("millrace-ingest").getOrCreate()
-    done = ingest(spark, a.host, a.data, a.artifacts, a.run_id, RequestProfile(a.locale, a.accept_language), minimum=a.minimum, max_drop=a.max_drop, allow_large_drop=a.allow_large_drop)
+    done = ingest(spark, a.host, a.data, a.artifacts, a.run_id, Visitor(a.locale, a.accept_language), minimum=a.minimum, max_drop=a.max_drop, allow_large_drop=a.allow_large_drop)
     print(done.manifest["count"], "products;", ", ".join(f"{k} {v}" for k, v in done.report.as_dict().items()))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
+from contextlib import suppress
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file:///tmp/millrace-{os.getuid()}"
 
 
+_CLEARED: set[str] = set()
+
+
 def work_dir(spark: SparkSession) -> str:
-    """This application's own part of the shared folder."""
-    return f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
+    """This application's own part of the shared folder, deleted when its driver ends."""
+    folder = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
+    if folder not in _CLEARED:
+        _CLEARED.add(folder)
+        fs, where = file_system(spark, folder)
+        atexit.register(_delete, fs, where)
+    return folder
+
+
+def _delete(fs, where) -> None:
+    with suppress(Exception):  # the JVM may have ended first
+        fs.delete(where, True)
 
 
 def clear(spark: SparkSession) -> None:
@@ -62,27 +77,42 @@ def file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def read_small(spark: SparkSession, path: str) -> str | None:
-    """Text of one small file, null if there is none."""
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """Content of one small file, null if there is none."""
     fs, where = file_system(spark, path)
     if not fs.exists(where):
         return None
     stream = fs.open(where)
     try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
     finally:
         stream.close()
 
 
-def write_small(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """Text of one small file, null if there is none."""
+    held = read_bytes(spark, path)
+    return None if held is None else held.decode()
+
+
+def write_small(spark: SparkSession, path: str, content: str | bytes, overwrite: bool = False) -> None:
     fs, where = file_system(spark, path)
     out = fs.create(where, overwrite)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(content.encode() if isinstance(content, str) else content))
     finally:
         out.close()
 
 
+def replace_small(spark: SparkSession, path: str, content: str | bytes) -> None:
+    """Writes one small file aside and moves it to its name, so that no reader sees a part of it."""
+    part = f"{path}.{uuid.uuid4().hex}"
+    write_small(spark, part, content)
+    fs, source = file_system(spark, part)
+    if not fs.rename(source, file_system(spark, path)[1]):
+        fs.delete(source, False)  # another writer was first
+
+
 class Conflict(RuntimeError):
     """Another run went ahead of the version this one read."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from millrace.sources.http import Fetcher, check_html, search_url
+from millrace.sources.http import HTML, Pages, search_url
 
 # Fixed value: how result pages link a product and its position.
 POSITION = r"(?i)/products/([^/?#\"']+)\?[^\"']*?_pos=(\d+)"
@@ -37,8 +37,18 @@ def overlap(replayed: DataFrame) -> DataFrame:
     return replayed.agg(F.count("product_id").alias("mapped"), F.count_if(F.col("product_id").isNull()).alias("unmapped"))
 
 
-def capture(fetcher: Fetcher, host: str, queries: DataFrame, catalog: DataFrame, namespace: str, k: int = 20, tries: int = 4, wait: float = 10.0) -> DataFrame:
+def capture(pages: Pages, host: str, queries: DataFrame, catalog: DataFrame, crawl: str, k: int = 20, pauses: tuple[float, ...] = (10.0, 20.0, 30.0)) -> DataFrame:
     """``replay`` of live search pages for the report's queries (query_id, query)."""
     spark = queries.sparkSession
-    pages = [(r["query_id"], fetcher.get_again(search_url(host, r["query"]), namespace, check_html, tries, wait).decode("utf-8", "replace")) for r in queries.select("query_id", "query").collect()]
-    return replay(ranked_handles(spark.createDataFrame(pages, "query_id string, html string"), "query_id", "html"), catalog, "query_id", k)
+    found = [(r["query_id"], pages.insist(search_url(host, r["query"]), crawl, [HTML], pauses).decode("utf-8", "replace")) for r in queries.select("query_id", "query").collect()]
+    return replay(ranked_handles(spark.createDataFrame(found, "query_id string, html string"), "query_id", "html"), catalog, "query_id", k)
+
+
+def artifact(replayed: DataFrame, queries: list[dict], host: str, k: int) -> dict:
+    """A captured run as a file holds it: by query its handles, those the catalog knows as ids and the others; counts of both; a report's size."""
+    rows = sorted(replayed.collect(), key=lambda r: r["at"])
+    of = {q["id"]: [r for r in rows if r["query_id"] == q["id"]] for q in queries}
+    return {
+        "domain": host, "k": k, "queries": {i: [r["product_id"] for r in found if r["rank"]] for i, found in of.items()}, "handles": {i: [r["handle"] for r in found] for i, found in of.items()},
+        "unmapped": {i: [r["handle"] for r in found if not r["rank"]] for i, found in of.items()}, "mapped_count": sum(bool(r["rank"]) for r in rows), "unmapped_count": sum(not r["rank"] for r in rows),
+    }

@@ -5,9 +5,10 @@ from conftest import rows
 
 from millrace.operators.catalog import InconsistentCrawl
 from millrace.operators.components import components
+from millrace.session import Conflict
 from millrace.sources import crawl, http, native, snapshot
 
-PROFILE = http.RequestProfile("sv-SE", "sv")
+VISITOR = http.Visitor("sv-SE", "sv")
 
 
 class Clock:
@@ -22,10 +23,11 @@ class Clock:
         self.now += s
 
 
-def fetcher(tmp_path, answers, **how):
+def asking(spark, tmp_path, answers, **how):
+    """Pages whose answers are given, the urls asked for, and their clock."""
     asked = []
 
-    def transport(url, profile):
+    def transport(url, visitor):
         asked.append(url)
         answer = answers(url) if callable(answers) else answers[len(asked) - 1]
         if isinstance(answer, Exception):
@@ -33,36 +35,43 @@ def fetcher(tmp_path, answers, **how):
         return answer
 
     clock = Clock()
-    return http.Fetcher(tmp_path / "cache", PROFILE, transport=transport, clock=clock, **how), asked, clock
+    return http.Pages(spark, f"file://{tmp_path}/pages", VISITOR, transport=transport, clock=clock, **how), asked, clock
 
 
-def test_cache_pacing_and_namespaces(tmp_path):
-    f, asked, clock = fetcher(tmp_path, lambda u: b"body", delay=3.0)
-    assert f.get("u") == f.get("u") == b"body" and len(asked) == 1 and clock.slept == []
-    f.get("u", namespace="b")
-    assert len(asked) == 2 and clock.slept == [3.0]
-    assert f.path("u") != http.Fetcher(tmp_path / "cache", http.RequestProfile("en", "en")).path("u")
+def test_pages_are_kept_paced_and_told_apart(spark, tmp_path):
+    pages, asked, clock = asking(spark, tmp_path, lambda u: f"body of {u} å\0".encode(), pause=4.0)
+    assert pages.page("u") == pages.page("u") == "body of u å\0".encode() and asked == ["u"] and clock.slept == []
+    pages.page("u", "another crawl")
+    clock.now += 1
+    pages.page("v")
+    assert asked == ["u", "u", "v"] and clock.slept == [4.0, 3.0]
+    other = http.Pages(spark, pages.folder, http.Visitor("en", "en"))
+    assert len({pages.kept_at("u"), pages.kept_at("v"), pages.kept_at("u", "another crawl"), other.kept_at("u")}) == 4
 
 
-@pytest.mark.parametrize("body, error", [(b"<TITLE>Just a Moment", http.Challenged), (b"", http.FetchError), (b"plain", http.FetchError)])
-def test_bad_bodies_are_not_cached(tmp_path, body, error):
-    f, asked, _ = fetcher(tmp_path, lambda u: body)
+@pytest.mark.parametrize("body, error", [(b"<html>CF-Injected", http.Blocked), (b"", http.Unusable), (b"words", http.Unusable)])
+def test_what_fails_a_check_is_not_kept(spark, tmp_path, body, error):
+    pages, asked, _ = asking(spark, tmp_path, lambda u: body)
     for _ in range(2):
         with pytest.raises(error):
-            f.get("u", validate=http.check_html)
-    assert len(asked) == 2 and not list((tmp_path / "cache").iterdir())
-
-
-def test_retries(tmp_path):
-    f, asked, clock = fetcher(tmp_path, [http.FetchError(), http.FetchError(), b"<html>"], delay=0)
-    assert f.get_again("u", validate=http.check_html, wait=10) == b"<html>" and clock.slept == [10, 20]
-    f, asked, _ = fetcher(tmp_path / "b", lambda u: b"cf-injected", delay=0)
-    with pytest.raises(http.Challenged):
-        f.get_again("u")
+            pages.page("u", checks=[http.HTML])
+    assert len(asked) == 2 and not (tmp_path / "pages").exists()
+
+
+def test_unusable_pages_are_asked_for_again_and_blocked_ones_are_not(spark, tmp_path):
+    pages, _, clock = asking(spark, tmp_path / "a", [http.Unusable(), b"", b"<!DOCTYPE HTML>x"], pause=0)
+    assert pages.insist("u", checks=[http.HTML], pauses=(5, 7, 9)).endswith(b"x") and clock.slept == [5, 7]
+    pages, asked, _ = asking(spark, tmp_path / "b", lambda u: http.Unusable(), pause=0)
+    with pytest.raises(http.Unusable):
+        pages.insist("u", pauses=(1, 1))
+    assert len(asked) == 3
+    pages, asked, _ = asking(spark, tmp_path / "c", lambda u: b"<title>Just a moment", pause=0)
+    with pytest.raises(http.Blocked):
+        pages.insist("u")
     assert len(asked) == 1
 
 
-def pages(*lists):
+def listing(*lists):
     def answer(url):
         n = int(url.rsplit("page=", 1)[1])
         return json.dumps({"products": lists[n - 1] if n <= len(lists) else []}).encode()
@@ -71,23 +80,31 @@ def pages(*lists):
 
 
 def test_verified_crawl(spark, tmp_path):
-    f, asked, _ = fetcher(tmp_path, pages([{"id": 1, "title": "A"}], [{"id": 2}]), delay=0)
-    records, manifest = crawl.crawl_verified(spark, f, "h.example", "run")
-    assert manifest["count"] == 2 and [r[0] for r in rows(records.select("product_id"))] == ["1", "2"] and len(asked) == 6
-    with pytest.raises(InconsistentCrawl, match="page 1"):
-        crawl.crawl_once(f, "h.example", "x", max_pages=1)
+    pages, asked, _ = asking(spark, tmp_path, listing([{"id": 7, "title": "Ö"}], [{"id": "8", "variants": None}]), pause=0)
+    records, manifest = crawl.crawl_verified(spark, pages, "h.example", "run")
+    assert manifest["count"] == 2 and rows(records.select("product_id", "title")) == [("7", "Ö"), ("8", "")] and len(asked) == 6
+    with pytest.raises(InconsistentCrawl, match="page 1 of h.example"):
+        crawl.walk(pages, "h.example", "x", most=1)
+
+
+BODIES = {
+    "no json": "is no JSON", "[]": "has no list of products", '{"products": {}}': "has no list of products", '{"products": [7]}': "is no object", '{"products": [{"title": "id: "}]}': "has no id",
+    '{"products": [{"id": 1, "variants": {}}]}': "has variants that are no list of objects", '{"products": [{"id": 1, "images": ["s"]}]}': "has images that are no list of objects", '{"products": [{"id": 1, "options": null, "images": []}]}': None,
+}
 
 
-@pytest.mark.parametrize("body", [b"no json", b"[]", b'{"products": {}}', b'{"products": [{}]}', b'{"products": [{"id": 1, "variants": {}}]}', b'{"products": [{"id": 1, "images": ["s"]}]}'])
-def test_malformed_pages(body):
-    with pytest.raises(InconsistentCrawl):
-        crawl.decode_products(body)
+def test_every_page_and_product_is_checked_with_a_reason(spark, tmp_path):
+    given = spark.createDataFrame([*BODIES.items(), (None, "x")], "body string, want string").withColumnRenamed("want", "page")
+    found = crawl.products(given)
+    assert {(r["page"], r["fault"]) for r in found.collect()} == {(w, w) for w in BODIES.values()} | {("x", "is no JSON")}
+    with pytest.raises(InconsistentCrawl, match="faults in the pages"):
+        crawl.sound(found)
 
 
 def test_saved_pages(spark, tmp_path):
     (tmp_path / "1.json").write_text(json.dumps({"products": [{"id": 1}, {"id": 2}]}))
     (tmp_path / "2.json").write_text("broken")
-    assert sorted(json.loads(r["raw"])["id"] for r in crawl.read_pages(spark, f"file://{tmp_path}").collect()) == [1, 2]
+    assert rows(crawl.read_pages(spark, f"file://{tmp_path}")) == [("1.json", 0, '{"id":1}', None), ("1.json", 1, '{"id":2}', None), ("2.json", None, None, "is no JSON")]
 
 
 def test_ranked_handles_and_replay(spark):
@@ -102,9 +119,13 @@ def test_ranked_handles_and_replay(spark):
 
 
 def test_capture(spark, tmp_path):
-    f, _, _ = fetcher(tmp_path, lambda u: b"<html><a href='/products/a?_pos=1'>")
+    pages, _, _ = asking(spark, tmp_path, lambda u: b"<html><a href='/products/a?_pos=1'><a href='/products/gone?_pos=2'>")
     asked = spark.createDataFrame([("q", "x")], "query_id string, query string")
-    assert rows(native.capture(f, "h", asked, spark.createDataFrame([("1", "a")], "product_id string, handle string"), "n").select("query_id", "product_id", "rank")) == [("q", "1", 1)]
+    found = native.capture(pages, "h", asked, spark.createDataFrame([("1", "a")], "product_id string, handle string"), "n")
+    assert rows(found.select("query_id", "product_id", "rank")) == [("q", None, None), ("q", "1", 1)]
+    assert native.artifact(found, [{"id": "q"}, {"id": "r"}], "h", 20) == {
+        "domain": "h", "k": 20, "queries": {"q": ["1"], "r": []}, "handles": {"q": ["a", "gone"], "r": []}, "unmapped": {"q": ["gone"], "r": []}, "mapped_count": 1, "unmapped_count": 1,
+    }
 
 
 def test_snapshots_are_written_once_and_checked(spark, tmp_path):
@@ -130,7 +151,14 @@ def test_stores_swap_as_one(spark, tmp_path):
     batch = spark.createDataFrame([("a", "s", "e", "p", "i")], "product_id string, source_payload_hash string, enrichment_input_hash string, payload string, input_payload string")
     for now in ("t1", "t2"):
         snapshot.save_store(spark, path, c.sync(snapshot.open_store(spark, path), batch, now)[0])
-    assert rows(snapshot.open_store(spark, path).product_state) == [("a", 1, "t1", "t2", None)]
+    store = snapshot.open_store(spark, path)
+    assert rows(store.product_state) == [("a", 1, "t1", "t2", None)] and store.product_version.count() == 1 and store.version == 2
+    late = c.sync(store, batch, "t3")[0]
+    snapshot.save_store(spark, path, late, ("file", "t3"))
+    assert rows(snapshot.applied(spark, path)) == [("file", "t3")]
+    with pytest.raises(Conflict):  # made of a version that is no longer the last
+        snapshot.save_store(spark, path, late, ("file", "t3"))
+    assert rows(snapshot.applied(spark, path)) == [("file", "t3")]
 
 
 def test_components(spark):

@@ -35,11 +35,11 @@ def canonical_json(value: object) -> str:
 def raw_fault(product: object) -> str | None:
     """What keeps a decoded JSON value from being a raw product, null if nothing does."""
     if not (isinstance(product, dict) and "id" in product):
-        return "a product is no object with an id"
+        return "not an object with an id"
     for name in ("variants", "options", "images"):
         inner = product.get(name)
         if inner is not None and not (isinstance(inner, list) and all(isinstance(x, dict) for x in inner)):
-            return f"product {product['id']}: {name} is no list of objects"
+            return f"{name} of {product['id']} isn't a list of objects"
     return None
 
 
@@ -128,9 +128,17 @@ def duplicate_ids(records: DataFrame) -> DataFrame:
 
 
 def manifest_digest(records: DataFrame) -> DataFrame:
-    """(count, digest) of a crawl: SHA-256 of its 'id NUL hash' lines in order. One short line a product meets in one row, as the definition asks."""
+    """(count, digest) of a crawl: SHA-256 of its 'id NUL hash' lines in order.
+
+    One digest over lines in order is made one line after the other; they are
+    sorted in ranges, and the ranges pass through the driver one at a time.
+    """
     line = F.concat("product_id", F.lit("\x00"), "source_payload_hash")
-    return records.agg(F.count("*").alias("count"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+    count, digest, between = 0, hashlib.sha256(), b""
+    for row in records.select(line.alias("line")).orderBy("line").toLocalIterator(prefetchPartitions=True):
+        digest.update(between + row["line"].encode())
+        count, between = count + 1, b"\n"
+    return records.sparkSession.createDataFrame([(count, digest.hexdigest())], "count bigint, digest string")
 
 
 def build_manifest(records: DataFrame) -> dict:
@@ -158,6 +166,22 @@ def check_counts(count: int, minimum: int = 1, previous: int | None = None, max_
         raise InconsistentCrawl(f"a large drop, from {previous} to {count} products; at most {max_drop:.0%} are accepted unless allowed")
 
 
+def _refused(counts: pd.Series, previous: pd.Series) -> pd.Series:
+    def refuses(count: int, before: int) -> bool:
+        try:
+            check_counts(int(count), minimum=0, previous=int(before))
+        except InconsistentCrawl:
+            return True
+        return False
+
+    return pd.Series([refuses(c, p) for c, p in zip(counts, previous)], dtype=bool)
+
+
+def is_refused(count: Column, previous: Column) -> Column:
+    """Whether ``check_counts`` refuses a crawl of ``count`` products after one of ``previous``."""
+    return F.pandas_udf(_refused, "boolean")(count, previous)
+
+
 def verify_crawls(first: DataFrame, second: DataFrame, **gates) -> tuple[DataFrame, dict]:
     """The second crawl and its manifest, if both crawls agree and the count gates hold."""
     one, two = build_manifest(first), build_manifest(second)

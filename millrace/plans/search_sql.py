@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from millrace.functions.text import ENGLISH_HEADS, HEADS, MODIFIERS, SINGULARS
-from millrace.plans.search import PAGES, QUERIES, SYSTEMS
+from millrace.plans.search import QUERIES, SYSTEMS
 from millrace.operators.scoring import STRATA
 
 
@@ -79,10 +79,16 @@ VOCABULARY = f"vocabulary AS (SELECT DISTINCT unnest({tokens('vendor')}) AS v FR
 BUDGET = "CASE WHEN length(t) < 5 THEN 0 WHEN length(t) < 8 THEN 1 ELSE 2 END"
 
 
+def letters(x: str) -> str:
+    """A token with each letter beyond ASCII, of the alphabet of tokens, as one capital: distances count bytes."""
+    return f"translate({x}, 'åäöéèüæø', 'ABCDEFGH')"
+
+
 def fixes(source: str) -> str:
+    near = f"levenshtein({letters('t')}, {letters('v')})"
     return f"""
 open_words AS (SELECT DISTINCT t, {BUDGET} AS budget FROM {source} WHERE t NOT IN (SELECT v FROM vocabulary)),
-near AS (SELECT t, v, levenshtein(t, v) AS d FROM open_words JOIN vocabulary ON abs(length(t) - length(v)) <= budget WHERE budget > 0 AND levenshtein(t, v) <= budget),
+near AS (SELECT t, v, {near} AS d FROM open_words JOIN vocabulary ON abs(length(t) - length(v)) <= budget WHERE budget > 0 AND {near} <= budget),
 fixes AS (SELECT t, min(v) AS v FROM near n WHERE d = (SELECT min(d) FROM near m WHERE m.t = n.t) GROUP BY t HAVING count(*) = 1)"""
 
 
@@ -149,7 +155,7 @@ SQL = {
     "compound_split": f"{TITLE_TOKENS} SELECT t AS token, {PREFIX} AS prefix, {HEAD} AS head FROM words WHERE {HEAD} IS NOT NULL",
     "compound_expand": f"{TITLE_TOKENS} SELECT t AS token, {ordered_distinct(EXPANDED)} AS expanded FROM words",
     "query_expand": f"{TITLE_TOKENS} SELECT t AS token, {ordered_distinct(OWN)} AS expanded FROM words",
-    "vendor_fuzzy_unique": f"{TITLE_TOKENS}, vocabulary AS (SELECT * FROM (SELECT DISTINCT unnest({tokens('vendor')}) AS v FROM docs) WHERE NOT regexp_matches(v, '[^\\x00-\\x7f]')), plain_words AS (SELECT t FROM words WHERE NOT regexp_matches(t, '[^\\x00-\\x7f]')), {fixes('plain_words')} SELECT t AS token, v AS corrected FROM fixes",
+    "vendor_fuzzy_unique": f"{TITLE_TOKENS}, {VOCABULARY}, {fixes('words')} SELECT t AS token, v AS corrected FROM fixes",
     "lexicon_terms": f"{BASE}{ASKED}, {LEX_TERMS}, whole AS (SELECT query_id, flatten(list(own ORDER BY pos)) AS v FROM expanded GROUP BY query_id) SELECT query_id, array_to_string(list_transform(list_filter(range(1, len(v) + 1), lambda i: list_position(v, v[i]) = i), lambda i: v[i]), ' ') AS terms FROM whole",
     "qrels": f"{BASE}{QRELS} SELECT query_id, product_id, grade FROM qrels",
     "dcg_at_10": f"{BASE}{SCORED} SELECT query_id, round(dcg, 6) AS dcg FROM got WHERE system = 'bm25'",
@@ -157,9 +163,12 @@ SQL = {
     "score_by_system": f"{BASE}{SCORED} SELECT system, round(avg(ndcg), 6) AS ndcg, round(avg(precision), 6) AS precision, round(avg(ndcg) FILTER (stratum <> 'adversarial/absent'), 6) AS answerable_ndcg, CAST(coalesce(sum(returned) FILTER (stratum = 'adversarial/absent'), 0) AS BIGINT) AS absent_returned FROM scored GROUP BY system",
     "score_by_stratum": f"{BASE}{SCORED} SELECT system, stratum, round(avg(ndcg), 6) AS ndcg FROM scored GROUP BY ALL",
     "scorecard_pivot": f"{BASE}{SCORED} SELECT list_position({listed(STRATA)}, stratum)::BIGINT AS position, stratum, " + ", ".join(f"round(avg(ndcg) FILTER (system = {text(s)}), 6) AS {s.replace('-', '_')}" for s in SYSTEMS) + " FROM scored GROUP BY stratum",
-    "html_rank_parse": "WITH pages AS (SELECT * FROM (VALUES " + ", ".join(f"({text(p)}, {text(h)})" for p, h in PAGES) + r""") v(page, html)),
-        links AS (SELECT page, unnest(regexp_extract_all(html, '/products/([^/?#"'']+)\?[^"'']*?_pos=(\d+)', 1, 'i')) AS handle, unnest(regexp_extract_all(html, '/products/([^/?#"'']+)\?[^"'']*?_pos=(\d+)', 2, 'i'))::BIGINT AS pos, generate_subscripts(regexp_extract_all(html, '/products/([^/?#"'']+)\?[^"'']*?_pos=(\d+)', 1, 'i'), 1) AS at_ FROM pages),
-        firsts AS (SELECT page, pos, arg_min(lower(handle), at_) AS handle FROM links GROUP BY ALL) SELECT page, row_number() OVER (PARTITION BY page ORDER BY pos) AS rank, handle FROM firsts""",
+    "html_rank_parse": """WITH d AS (SELECT DISTINCT concat_ws('/', store, coalesce(feed_id, ''), page::VARCHAR) AS page, product_id, handle FROM product_record WHERE handle IS NOT NULL AND page IS NOT NULL),
+        n AS (SELECT page, handle, row_number() OVER (PARTITION BY page ORDER BY product_id, handle) AS at_ FROM d)
+        SELECT page, row_number() OVER (PARTITION BY page ORDER BY at_) AS rank, lower(regexp_extract(handle, '^[^/?#"'']+')) AS handle FROM n""",
+    "score_query_table": f"{BASE}{SCORED} SELECT s.query_id, a.query, s.stratum, " + ", ".join(f"round(max(ndcg) FILTER (system = {text(s)}), 6) AS {s.replace('-', '_')}" for s in SYSTEMS) + " FROM scored s JOIN asked a USING (query_id) GROUP BY ALL",
+    "example_results": f"{BASE}{SCORED} SELECT r.system, r.query_id, r.rank, r.product_id, coalesce(l.title, '') AS title, CAST(coalesce(q.grade, 0) AS INTEGER) AS grade FROM runs r JOIN latest l USING (product_id) LEFT JOIN qrels q USING (query_id, product_id) WHERE r.rank <= 10",
+    "lexicon_spec": f"WITH {CATALOG}, {VOCABULARY} SELECT {len(MODIFIERS)}::BIGINT AS modifiers, {len(ENGLISH_HEADS)}::BIGINT AS english_heads, count(*) AS vendor_tokens FROM vocabulary",
     "native_overlap": f"WITH {CATALOG}, d AS (SELECT handle, ('0x' || left(md5(product_id), 2))::INTEGER AS digit FROM latest WHERE handle IS NOT NULL) SELECT count(*) FILTER (digit % 5 <> 0) AS mapped, count(*) FILTER (digit % 5 = 0) AS unmapped FROM d",
 }
 
@@ -192,6 +201,10 @@ SQL |= {
     "sync_state": f"{TWO} SELECT product_id, CAST(CASE WHEN outcome IN ('enrichment_stale', 'source_changed') THEN 2 ELSE 1 END AS INTEGER) AS current_version, CASE WHEN outcome = 'new' THEN {_NOW[1]} ELSE {_NOW[0]} END AS first_seen, CASE WHEN outcome = 'disappeared' THEN {_NOW[0]} ELSE {_NOW[1]} END AS last_seen, CASE WHEN outcome = 'disappeared' THEN {_NOW[1]} END AS deleted_at FROM merged",
     "sync_versions": f"{TWO} SELECT product_id, 1 AS version, s AS source_payload_hash, e AS enrichment_input_hash, {_NOW[0]} AS created_at FROM one UNION ALL SELECT product_id, CASE WHEN outcome = 'new' THEN 1 ELSE 2 END, sb, eb, {_NOW[1]} FROM merged WHERE outcome IN ('new', 'enrichment_stale', 'source_changed')",
     "enrichment_queue": f"{TWO} SELECT DISTINCT h AS enrichment_input_hash, h AS input_payload FROM (SELECT e AS h FROM one UNION ALL SELECT eb FROM merged WHERE outcome IN ('new', 'enrichment_stale'))",
+    "enrichment_links": f"{TWO} SELECT product_id, e AS enrichment_input_hash, {_NOW[0]} AS first_requested FROM one UNION ALL SELECT m.product_id, eb, {_NOW[1]} FROM merged m WHERE outcome IN ('new', 'enrichment_stale')",
+    "completed_job": f"""{TWO}, q AS (SELECT h, min(at_) AS created_at FROM (SELECT e AS h, {_NOW[0]} AS at_ FROM one UNION ALL SELECT eb, {_NOW[1]} FROM merged WHERE outcome IN ('new', 'enrichment_stale')) GROUP BY h), f AS (SELECT min(h) AS first FROM q)
+        SELECT h AS enrichment_input_hash, CASE WHEN h = first THEN 'completed' ELSE 'pending' END AS status, CASE WHEN h = first THEN '{{"colour": "blå"}}' END AS result, CASE WHEN h = first THEN 'raw' END AS raw_response, created_at, CASE WHEN h = first THEN '2026-01-09T00:00:00Z' END AS completed_at FROM q, f""",
+    "verified_crawl": f"{TWO} SELECT 1::INTEGER AS schema_version, count(*) AS n, sha256(string_agg(product_id || chr(0) || s, chr(10) ORDER BY product_id || chr(0) || s)) AS digest FROM one",
     "soft_delete": f"{TWO} SELECT count(*) FILTER (outcome <> 'disappeared') AS live, count(*) FILTER (outcome = 'disappeared') AS deleted FROM merged",
     "pending_jobs": "SELECT DISTINCT enrichment_input_hash, input_payload FROM enrichment_cache WHERE status = 'pending'",
 }

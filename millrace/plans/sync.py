@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.operators import catalog as c
 from millrace.plans.search import catalog
-from millrace.session import table
+from millrace.session import table, written
 
 
 def _joined(*columns: Column) -> Column:
@@ -55,7 +55,7 @@ def drop_gate(spark, sf_dir):
     one = first.groupBy("vendor").agg(F.count("*").alias("previous"))
     two = second.groupBy("vendor").agg(F.count("*").alias("n"))
     rows = one.join(two, "vendor", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return rows.select("vendor", "previous", "n", (F.col("n") < F.ceil(F.col("previous") * F.lit(1 - 0.10))).alias("rejected"))
+    return rows.select("vendor", "previous", "n", c.is_refused(F.col("n"), F.col("previous")).alias("rejected"))
 
 
 def _two_syncs(spark, sf_dir):
@@ -84,6 +84,26 @@ def enrichment_queue(spark, sf_dir):
     return c.pending_enrichment(_two_syncs(spark, sf_dir)[1].enrichment_cache)
 
 
+def enrichment_links(spark, sf_dir):
+    """Which product asked for which input, and when first."""
+    return _two_syncs(spark, sf_dir)[1].product_enrichment
+
+
+def completed_job(spark, sf_dir):
+    """The cache after the first of the pending inputs is completed."""
+    cache = written(_two_syncs(spark, sf_dir)[1].enrichment_cache, "cache")
+    first = cache.agg(F.min("enrichment_input_hash")).first()[0]
+    done = c.complete_enrichment(cache, first, {"colour": "blå"}, "raw", "2026-01-09T00:00:00Z")
+    return done.select("enrichment_input_hash", "status", "result", "raw_response", "created_at", "completed_at")
+
+
+def verified_crawl(spark, sf_dir):
+    """Count and digest of a crawl that agrees with the one before it."""
+    first = written(crawls(spark, sf_dir)[0], "crawl")
+    _, core = c.verify_crawls(first, first)
+    return spark.createDataFrame([(core["schema_version"], core["count"], core["digest"])], "schema_version int, n bigint, digest string")
+
+
 def soft_delete(spark, sf_dir):
     state = _two_syncs(spark, sf_dir)[1].product_state
     return state.agg(F.count_if(F.col("deleted_at").isNull()).alias("live"), F.count_if(F.col("deleted_at").isNotNull()).alias("deleted"))
@@ -101,4 +121,4 @@ def canonical_json_hash(spark, sf_dir):
     return c.with_enrichment_hash(c.normalize(usable, "source_payload")).select("product_id", "source_payload_hash", "enrichment_input_hash").distinct()
 
 
-QUERY_FUNCTIONS = (dup_ids, manifest_digest, crawl_diff, drop_gate, sync_outcomes, sync_state, sync_versions, enrichment_queue, soft_delete, pending_jobs, canonical_json_hash)
+QUERY_FUNCTIONS = (dup_ids, manifest_digest, crawl_diff, drop_gate, sync_outcomes, sync_state, sync_versions, enrichment_queue, enrichment_links, completed_job, verified_crawl, soft_delete, pending_jobs, canonical_json_hash)

@@ -43,20 +43,21 @@ def raw_fault(product: object) -> str | None:
     return None
 
 
-def _is_raw(text: str | None) -> bool:
+def _fault_of(text: str | None) -> str | None:
     try:
-        return text is not None and raw_fault(json.loads(text)) is None
-    except (ValueError, RecursionError):
-        return False
+        return "null" if text is None else raw_fault(json.loads(text))
+    except (ValueError, RecursionError) as e:
+        return f"no JSON: {e}"[:200]
 
 
-def _are_raw(texts: pd.Series) -> pd.Series:
-    return pd.Series([_is_raw(t) for t in texts], dtype=bool)
+def _faults(texts: pd.Series) -> pd.Series:
+    return pd.Series([_fault_of(t) for t in texts], dtype=object)
 
 
-def is_raw_product(text: Column) -> Column:
-    """Whether a JSON text is a raw product as a crawl accepts it; false for null."""
-    return F.pandas_udf(_are_raw, "boolean")(text)
+def quarantined(raw: DataFrame, column: str = "raw") -> tuple[DataFrame, DataFrame]:
+    """``raw`` in two: rows whose JSON text ``normalize`` takes, and the others with their ``fault``."""
+    judged = raw.withColumn("fault", F.pandas_udf(_faults, "string")(F.col(column)))
+    return judged.where(F.col("fault").isNull()).drop("fault"), judged.where(F.col("fault").isNotNull())
 
 
 def _payload(texts: pd.Series) -> pd.DataFrame:

@@ -6,6 +6,8 @@ grade), queries (query_id, query, stratum).
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ABSENT = "adversarial/absent"  # fixed value
@@ -24,11 +26,19 @@ def dcg(rows: DataFrame, by: list[str], rank: str, gain: str, k: int) -> DataFra
 
 
 def ideal_dcg(qrels: DataFrame, k: int) -> DataFrame:
-    """(query_id, ideal, relevant): the best discounted gain that all of a query's grades allow, and its grades of two and more."""
-    order = Window.partitionBy("query_id").orderBy(F.col("grade").desc())
-    ranked = qrels.withColumn("_r", F.row_number().over(order))
-    return ranked.groupBy("query_id").agg(
-        F.sum(F.when(F.col("_r") <= k, discounted(F.col("grade"), F.col("_r"))).otherwise(0.0)).alias("ideal"), F.count_if(F.col("grade") >= 2).alias("relevant")
+    """(query_id, ideal, relevant): the best discounted gain that all of a query's grades allow, and its grades of two and more.
+
+    Judgements are counted by grade first: a query has a row for each grade it
+    gives, however many products it judges.
+    """
+    counts = qrels.groupBy("query_id", "grade").agg(F.count("*").alias("_n"))
+    above = Window.partitionBy("query_id").orderBy(F.col("grade").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(above), F.lit(0)))
+    discounts = F.array(*(F.lit(1.0 / log2(rank + 1)) for rank in range(1, k + 1))).cast("array<double>")
+    room = F.least(F.col("_n"), F.greatest(F.lit(k) - F.col("_before"), F.lit(0))).cast("int")
+    taken = F.aggregate(F.slice(discounts, F.col("_before").cast("int") + 1, room), F.lit(0.0), lambda total, d: total + d)
+    return placed.groupBy("query_id").agg(
+        F.sum((F.pow(F.lit(2.0), F.col("grade").cast("double")) - 1.0) * taken).alias("ideal"), F.coalesce(F.sum(F.when(F.col("grade") >= 2, F.col("_n"))), F.lit(0)).alias("relevant")
     )
 
 

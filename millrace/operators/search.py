@@ -45,16 +45,19 @@ class Index:
     def kept(self) -> "Index":
         """This index written to the shared folder, for several searches.
 
-        Texts are analysed once. Postings lie in order of their terms, so a
+        Texts are analysed once. Postings carry their term's df and lie in order of their terms, so a
         search reads only the row groups of the terms it asks for; a frequent
         term spans several files.
         """
         once = _index(written(self.analysed, "analysed"), self.compound, self.weights)
-        ordered = once.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        counted = once.postings.join(once.document_frequency(), ["field", "term"])
+        ordered = counted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
         return Index(written(ordered, "postings"), written(once.stats, "stats"), once.analysed, self.compound, self.weights)
 
     def document_frequency(self) -> DataFrame:
         """(field, term, df)."""
+        if "df" in self.postings.columns:
+            return self.postings.select("field", "term", "df").distinct()
         return self.postings.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
@@ -101,8 +104,9 @@ def search(index: Index, terms: DataFrame, k: int = 20, k1: float = K1, b: float
     few = [r["term"] for r in asked.limit(PUSHED + 1).collect()]
     # a bounded list is a filter that the scan can use; more terms are a join
     found = index.postings.where(F.col("term").isin(few)) if len(few) <= PUSHED else index.postings.join(asked, "term", "left_semi")
-    df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
-    scored = found.join(df, ["field", "term"]).join(index.stats, "field")
+    if "df" not in found.columns:
+        found = found.join(found.groupBy("field", "term").agg(F.count("*").alias("df")), ["field", "term"])
+    scored = found.join(index.stats, "field")
     average = F.coalesce(F.nullif(F.col("avgdl"), F.lit(0.0)), F.lit(1.0))
     norm = F.col("tf") + F.lit(float(k1)) * (F.lit(1.0 - b) + F.lit(float(b)) * F.col("dl") / average)
     part = F.col("weight") * inverse_frequency(F.col("n"), F.col("df")) * (F.col("tf") * F.lit(k1 + 1.0)) / norm

@@ -116,9 +116,12 @@ def pending_jobs(spark, sf_dir):
 
 
 def canonical_json_hash(spark, sf_dir):
-    """Records normalised from every payload that a crawl accepts as a raw product, with both digests in canonical JSON."""
-    usable = table(spark, sf_dir, "product_record").where(c.is_raw_product(F.col("source_payload")))
-    return c.with_enrichment_hash(c.normalize(usable, "source_payload")).select("product_id", "source_payload_hash", "enrichment_input_hash").distinct()
+    """Every payload: both digests in canonical JSON of those that a crawl accepts as raw products, and what is wrong with the others."""
+    rows = table(spark, sf_dir, "product_record").where(F.col("source_payload").isNotNull())
+    good, bad = c.quarantined(rows.select("product_id", "source_payload"), "source_payload")
+    hashed = c.with_enrichment_hash(c.normalize(good, "source_payload")).select("product_id", "source_payload_hash", "enrichment_input_hash", F.lit(None).cast("string").alias("fault"))
+    none = F.lit(None).cast("string")
+    return hashed.unionByName(bad.select("product_id", none.alias("source_payload_hash"), none.alias("enrichment_input_hash"), "fault")).distinct()
 
 
 QUERY_FUNCTIONS = (dup_ids, manifest_digest, crawl_diff, drop_gate, sync_outcomes, sync_state, sync_versions, enrichment_queue, enrichment_links, completed_job, verified_crawl, soft_delete, pending_jobs, canonical_json_hash)

@@ -127,10 +127,12 @@ def test_every_payload_a_crawl_accepts_has_its_digests(spark, tmp_path):
     ]
     bad = [{"variants": [{"id": 1}], "body_html": "b"}, *({"id": 7, "body_html": "b", "variants": [{"id": 1}]} | x for x in ({"variants": {"id": 1}}, {"options": '[{"name": "S"}]'}, {"images": "[]"}, {"images": [{"src": "s"}, "t"]}, {"options": [None]}))]
     texts = [*(json.dumps(r) for r, _ in good), *map(json.dumps, bad), '{"id": 8', '[{"id": 9}]', '"x"', "", None]
-    spark.createDataFrame([(t,) for t in texts], "source_payload string").write.parquet(str(tmp_path / "product_record.parquet"))
-    assert rows(canonical_json_hash(spark, str(tmp_path))) == sorted((str(r["id"]), digest(r | {"tags": []}), digest(e)) for r, e in good)
-    for r, _ in good:
-        assert source.decode_products(json.dumps({"products": [r]}).encode()) == [r]
-    for r in bad:
-        with pytest.raises(c.InconsistentCrawl):
-            source.decode_products(json.dumps({"products": [r]}).encode())
+    spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "product_id string, source_payload string").write.parquet(str(tmp_path / "product_record.parquet"))
+    got = rows(canonical_json_hash(spark, str(tmp_path)))
+    assert [r[:3] for r in got if r[3] is None] == sorted((str(r["id"]), digest(r | {"tags": []}), digest(e)) for r, e in good)
+    rejected = {r[0]: r[1:] for r in got if r[3] is not None}
+    assert set(rejected) == {f"p{i}" for i in range(len(good), len(texts) - 1)} and all(r[:2] == (None, None) for r in rejected.values())
+    # the check of a crawl's pages, in Spark, says the same of each
+    pages = spark.createDataFrame([(str(i), json.dumps({"products": [r]})) for i, r in enumerate([*(r for r, _ in good), *bad])], "page string, body string")
+    faults = {int(r["page"]): r["fault"] for r in source.products(pages).collect()}
+    assert [bool(faults[i]) for i in range(len(faults))] == [False] * len(good) + [True] * len(bad)

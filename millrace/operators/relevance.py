@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.text import fold_case
 
-DEEPEST = 16
-
 
 def _folded(word: str) -> Column:
     return F.lit(word.lower().replace("ß", "ss"))
@@ -53,8 +51,6 @@ def grade(rule: dict, depth: int = 0) -> Column:
     """
     if rule.get("method") not in _RULES:
         raise ValueError(f"relevance method {rule.get('method')!r} is unknown")
-    if depth > DEEPEST:
-        raise ValueError(f"relevance rules nest deeper than {DEEPEST}")
     return _RULES[rule["method"]](rule, depth).cast("int")
 
 

@@ -38,8 +38,8 @@ def carry_forward(entries: DataFrame, group: str, seq: str, key: str, values: li
 
 
 def leaf_depth(rows_in_largest: int, rows_per_leaf: int = 8) -> int:
-    """Depth of the tree at which a leaf of the largest snapshot holds about ``rows_per_leaf`` rows."""
-    return max(0, min(24, ceil(log2(max(1, rows_in_largest) / rows_per_leaf)))) if rows_in_largest > rows_per_leaf else 0
+    """Depth of the tree at which a leaf of the largest snapshot holds about ``rows_per_leaf`` rows, whatever its size."""
+    return ceil(log2(rows_in_largest / rows_per_leaf)) if rows_in_largest > rows_per_leaf else 0
 
 
 def differing_leaves(entries: DataFrame, pairs: DataFrame, group: str, seq: str, depth: int, step: int = 4) -> DataFrame:

@@ -75,4 +75,4 @@ def test_which_values_differ_and_what_nulls_say(spark):
 
 def test_depth_follows_size():
     assert sd.leaf_depth(0) == sd.leaf_depth(8) == 0
-    assert sd.leaf_depth(9) == 1 and sd.leaf_depth(800) == 7 and sd.leaf_depth(10**12) == 24
+    assert sd.leaf_depth(9) == 1 and sd.leaf_depth(800) == 7 and sd.leaf_depth(10**12) == 37

@@ -367,11 +367,12 @@ def labels(found: list[tuple[str, str, int]], short: int = 70, long: int = 200,
     return out
 
 
-def clean_blocks(records: DataFrame, key: str, body: str) -> DataFrame:
+def clean_blocks(records: DataFrame, key: str, body: str, content_only: bool = False) -> DataFrame:
     """(key, ordinal INT, block_kind, block_text, label) of each block of each body.
 
     White space is one space, ends are trimmed and empty blocks left out. Null
-    and blank bodies have no rows; repeated rows have theirs again. Nothing is
+    and blank bodies have no rows; repeated rows have theirs again. With
+    ``content_only`` blocks labelled boilerplate are left out, else nothing is
     dropped by its label. Bodies go whole.
     """
     kind = dict(records.dtypes)[key]
@@ -382,16 +383,25 @@ def clean_blocks(records: DataFrame, key: str, body: str) -> DataFrame:
             rows, ordinals, kinds, texts, marks = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 found = blocks(text)
+                said = labels(found)
+                if content_only:
+                    found, said = [b for b, label in zip(found, said) if label == "content"], ["content"] * said.count("content")
                 rows += [i] * len(found)
                 ordinals += range(len(found))
                 kinds += [b[0] for b in found]
                 texts += [b[1] for b in found]
-                marks += labels(found)
+                marks += said
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ordinals, pa.int32()), pa.array(kinds, pa.string()), pa.array(texts, pa.string()), pa.array(marks, pa.string())], names=[key, "ordinal", "block_kind", "block_text", "label"])
 
     return given.mapInArrow(run, f"`{key}` {kind}, ordinal int, block_kind string, block_text string, label string")
 
 
+def p6_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the two passes of block rules say of each block of each product's body."""
+    records = spark.read.parquet(f"{sf_dir}/product_record.parquet")
+    return clean_blocks(records, "product_id", "body_html").select("product_id", "block_kind", "block_text", "label").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blocks of each product's body."""
     return clean_blocks(spark.read.parquet(f"{sf_dir}/product_record.parquet"), "product_id", "body_html").select("product_id", "block_kind", "block_text").distinct()

@@ -54,3 +54,17 @@ def test_rows(spark):
     got = mk.clean_blocks(df, "product_id", "body_html")
     assert rows(got.select("product_id", "ordinal", "block_text")) == [(None, 0, "b"), ("p", 0, "a"), ("p", 0, "a"), ("p", 1, "a"), ("p", 1, "a")]
     assert mk.clean_blocks(df.limit(0), "product_id", "body_html").count() == 0
+
+
+NAVIGATION = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>Sale</a></li></ul><p><a href='/c'>All of our shops, their opening hours and how to find each of them on the map of the town</a></p>"
+PROSE = "<p>This is a jacket for wet mornings, and it is as warm as it is light, so you can wear it all day.</p><h2>Care</h2><p>Wash it cold.</p>"
+
+
+def test_labels_decide_what_content_is(spark, monkeypatch):
+    """Link density decides a block, stop words another, and short ones take their neighbours' label."""
+    assert mk.labels(mk.blocks(NAVIGATION)) == ["boilerplate"] * 3
+    assert mk.labels(mk.blocks(PROSE)) == ["content"] * 3
+    df = spark.createDataFrame([(1, NAVIGATION), (2, PROSE), (3, NAVIGATION + PROSE), (4, None)], "product_id long, body string")
+    kept = lambda: [(r["product_id"], r["block_text"][:9]) for r in mk.clean_blocks(df, "product_id", "body", content_only=True).orderBy("product_id", "ordinal").collect()]
+    assert kept() == [(p, t) for p in (2, 3) for t in ("This is a", "Care", "Wash it c")]
+    assert mk.clean_blocks(df, "product_id", "body").count() == 12

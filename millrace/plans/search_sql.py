@@ -146,7 +146,7 @@ SQL = {
     "term_df": f"{BASE}{LONG}, {index(False)} SELECT field, term, CAST(df AS BIGINT) AS df FROM dfs",
     "doc_len_stats": f"{BASE}{LONG}, {WORD}, {index(True)} SELECT field, CAST(n AS BIGINT) AS n, round(avgdl, 6) AS avgdl, weight FROM stats",
     "bm25_topk_single": f"""{BASE} own AS (SELECT doc_id, unnest({tokens('title')}) AS term FROM docs), lens AS (SELECT doc_id, len({tokens('title')})::DOUBLE AS dl FROM docs),
-        st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM lens), p AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM own WHERE term IN ('svart', 'jacka') GROUP BY ALL), d AS (SELECT term, count(*)::DOUBLE AS df FROM p GROUP BY term),
+        st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM lens), p AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM own WHERE term IN ('tegelröd', 'väska') GROUP BY ALL), d AS (SELECT term, count(*)::DOUBLE AS df FROM p GROUP BY term),
         s AS (SELECT doc_id, round(sum(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS score FROM p JOIN d USING (term) JOIN lens USING (doc_id), st GROUP BY doc_id)
         SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM s QUALIFY rank <= 10""",
     "bm25_fielded": f"{BASE}{RUNS} {RUN_OUT.format('r1')}",

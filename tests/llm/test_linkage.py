@@ -144,3 +144,10 @@ def test_listings_with_misspelt_and_divided_models_are_paired(spark, tmp_path):
     spark.createDataFrame([("product_type", 1, "Jackor", ["jacka"])], "field_name string, canon_id long, name string, alt_names array<string>").write.parquet(str(tmp_path / "canon_value.parquet"))
     models = {r["product_id"]: r["model"] for r in lk.listing_items(spark, str(tmp_path)).collect()}
     assert models["x"] == "polakipi" and models["y"] == "samagadi"
+
+
+def test_the_driver_plans_few_joins_at_once(spark):
+    """Items and what is held of them are written before pairs are made: each plan reads them, and no plan holds all that led to them several times over."""
+    items = lk.same_items(spark.createDataFrame([(*x, "c") for x in catalog(6)], SCHEMA), "product_id")
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (items, lk.item_pairs(items, "product_id"))]
+    assert [p.count("Join ") for p in plans] == [0, 1]

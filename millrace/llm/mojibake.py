@@ -1,10 +1,10 @@
 """Garbled text from a wrong character encoding, restored by minimum description length.
 
 Every candidate decoding of a text is compressed, sentence by sentence, with
-the Zstandard dictionary trained for its language; the chain of re-decodings
-whose description is shortest, the chain's own cost included, is taken, and the
-text stays unchanged where none is shorter. What a text may hold is not listed
-anywhere: the dictionaries know it.
+the Zstandard dictionary of its language, made of what all texts hold most; the
+chain of re-decodings whose description is shortest, the chain's own cost
+included, is taken, and the text stays unchanged where none is shorter. What a
+text may hold is not listed anywhere: the dictionaries know it.
 
 Before compression a text is written in a code of script windows, so that a
 letter costs a byte in any script and a change of script costs some more.
@@ -13,7 +13,7 @@ letter costs a byte in any script and a change of script costs some more.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,18 +21,22 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.session import spread
+from millrace.session import spread, written
 
 #: Single-byte encodings that UTF-8 bytes may have been read as, and those that Windows text may have been read as.
 CODECS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "cp1257", "iso8859_15")
 SINGLE = ("cp850", "cp437", "mac_roman", "iso8859_1", "cp1251", "cp1250")
 LANGUAGES = ("sv", "en", "da", "de")
 LOST = "\ufffd"
+DICTIONARY = 300_000  # bytes of a language's dictionary
+SEGMENT = 64  # characters of a word that is counted whole
+LINE = 500  # bytes of a line to train on, at least
 
 _ENTITIES = re.compile(r"(?:&#(?:[0-9]{2,5}|[xX][0-9a-fA-F]{2,4});){2,}")
 _ENTITY = re.compile(r"&#(?:([0-9]+)|[xX]([0-9a-fA-F]+));")
 _BEYOND = re.compile("[^\x00-\x7f]")
 _PAIR = re.compile("[^\x00-\x7f]{2}")
+_WORDS = re.compile(rf"\S{{1,{SEGMENT}}}")
 _SENTENCE_END = re.compile(r"[.!?;:]+\s+|\n\s*")
 #: What is left of a sequence whose last byte had no character: the text can't be had.
 _BROKEN = re.compile("(?:â€|Ã¢â‚¬|вЂ|ΓÇ|‚Ä)(?=[?\\s\\w]|$)|Ã\\?")
@@ -251,7 +255,15 @@ class Restorer:
 
 
 def _candidates(text: str) -> bool:
-    return undo_entities(text) != text or any(undo_utf8(text, c) != text for c in CODECS)
+    return undo_entities(text) != text or not text.isascii() and bool(_PAIR.search(text)) and any(undo_utf8(text, c) != text for c in CODECS)
+
+
+def _dictionary(samples: list[bytes], size: int, level: int) -> bytes | None:
+    """A Zstandard dictionary with entropy tables of at most ``size`` bytes; null if the samples are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=64, d=8, level=level).as_bytes()
+    except zstandard.ZstdError:
+        return None
 
 
 def trained(texts: list[str], size: int = 300_000, rare: float = 0.01, level: int = 16) -> Model | None:
@@ -263,41 +275,94 @@ def trained(texts: list[str], size: int = 300_000, rare: float = 0.01, level: in
     texts = [t for t in texts if LOST not in t and not _candidates(t)]
     held = Counter(c for t in texts for c in set(t))
     odd = {c for c, n in held.items() if n < rare * len(texts)}
-    samples = [windows(t + "\n") for t in texts if odd.isdisjoint(t)]
-    try:
-        made = zstandard.train_dictionary(size, samples, k=64, d=8, level=level).as_bytes()
-        return Model(made, frozenset(c for c in held if c > "\x7f") - odd)
-    except zstandard.ZstdError:
-        return None
+    made = _dictionary([windows(t + "\n") for t in texts if odd.isdisjoint(t)], size, level)
+    return made and Model(made, frozenset(c for c in held if c > "\x7f") - odd)
 
 
-def language_models(documents: DataFrame, text: str, lang: str, order: str, samples: int = 1000, size: int = 4_000_000) -> dict[str, Model]:
-    """Models of LANGUAGES, each trained on at most ``samples`` texts of over 60 characters, whole ones up to ``size`` bytes together.
+def counted(documents: DataFrame, text: str, lang: str, key: str) -> DataFrame:
+    """(lang, kind, said, n): how often each segment ('segment'), and in how many texts each character beyond ASCII ('character'), is found in all undamaged texts of LANGUAGES; 'texts' has their number.
 
-    The bound on the sample, the smallest hashes of
-    ``order``, doesn't grow with the corpus. Rows are counted first, by language
-    alone, so that a share of the hash values can be set that holds about twice
-    the sample: nothing else is sent on.
+    Segments are the words, and each word with a character beyond ASCII with
+    its neighbour on either side and between both. Words longer than SEGMENT
+    characters are cut into pieces of it. Damaged is what holds a sequence that some re-decoding would change.
     """
-    named = F.substring(F.lower(F.trim(lang)), 1, 2)
-    counted = {r[0]: r[1] for r in documents.groupBy(named.alias("_l")).count().where(F.col("_l").isin(*LANGUAGES)).collect()}
-    if not counted:
-        return {}
-    share = F.coalesce(*(F.when(F.col("_l") == code, F.lit(int(min(1.0, 2 * samples / n) * (2**62)))) for code, n in counted.items()))
-    hashed = documents.select(named.alias("_l"), F.col(text).alias("_t"), F.shiftrightunsigned(F.xxhash64(order), 2).alias("_h"))
-    taken = hashed.where(F.col("_l").isin(*counted) & (F.col("_h") < share) & (F.length("_t") > 60) & (F.octet_length("_t") <= size))
-    by_lang: dict[str, list] = {}
-    for r in taken.toLocalIterator():
-        by_lang.setdefault(r["_l"], []).append((r["_h"], r["_t"]))
-    out = {}
-    for code, rows in by_lang.items():
-        texts, room = [], size
-        for _, one in sorted(rows)[:samples]:
-            if len(one.encode()) <= room:  # a text that doesn't fit makes way for shorter ones
-                texts.append(one)
-                room -= len(one.encode())
-        if made := trained(texts):
-            out[code] = made
+    code = F.substring(F.lower(F.trim(lang)), 1, 2)
+    given = spread(documents.where(code.isin(*LANGUAGES) & F.col(text).isNotNull()).select(key, code.alias("_l"), F.col(text).alias("_t")), key, 1).select("_l", "_t")
+
+    def count(held: dict[tuple[str, str], Counter], code: str, text: str) -> None:
+        words = text.split()
+        if words and max(map(len, words)) > SEGMENT:
+            words = _WORDS.findall(text)
+        held[code, "segment"].update(words)
+        if not text.isascii():
+            beyond = [not w.isascii() for w in words]
+            near = [f"{a} {b}" for a, b, x, y in zip(words, words[1:], beyond, beyond[1:]) if x or y]
+            near += [f"{a} {b} {c}" for a, b, c, x in zip(words, words[1:], words[2:], beyond[1:]) if x]
+            held[code, "segment"].update(near)
+            held[code, "character"].update([c for c in set(text) if c > "\x7f"])
+        held[code, "texts"][""] += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = defaultdict(Counter)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for (code, kind), counts in held.items():
+                yield pa.RecordBatch.from_arrays([pa.repeat(code, len(counts)), pa.repeat(kind, len(counts)), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "kind", "said", "n"])
+            held.clear()
+
+        for batch in batches:
+            for code, one in zip(*(c.to_pylist() for c in batch.columns)):
+                if LOST not in one and not _candidates(one):
+                    count(held, code, one)
+                    if sum(map(len, held.values())) > 300_000:  # what a worker holds doesn't grow with its rows
+                        yield from told()
+        yield from told()
+
+    return given.mapInArrow(run, "lang string, kind string, said string, n long").groupBy("lang", "kind", "said").agg(F.sum("n").alias("n"))
+
+
+def _material(segments: list[tuple[str, int]], samples: int, size: int) -> list[bytes]:
+    """At most ``samples`` lines, of LINE bytes or more and ``size`` bytes together, in which segments come as often, in proportion, as counted, each once at least; the first ones, up to half of ``size``, if not all fit."""
+    taken, room = [], size // 2
+    for said, n in segments:
+        data = windows(said + " ")
+        if len(data) > room:
+            break
+        taken.append((data, n))
+        room -= len(data)
+    share = min(1.0, size / 2 / max(1, sum(len(data) * n for data, n in taken)))
+    times = [(data, max(1, int(n * share))) for data, n in taken]
+    lines = [bytearray() for _ in range(min(samples, sum(len(data) * n for data, n in times) // LINE))]
+    at = 0
+    for data, n in times if lines else ():
+        for _ in range(n):
+            lines[at % len(lines)] += data
+            at += 1
+    return [bytes(line) for line in lines]
+
+
+def language_models(documents: DataFrame, text: str, lang: str, order: str, samples: int = 1000, size: int = 4_000_000, rare: float = 0.01) -> dict[str, Model]:
+    """Models of LANGUAGES, from counts of all their undamaged texts (``counted``).
+
+    A dictionary holds DICTIONARY bytes, so it is trained on those segments of
+    which all texts have the most, in bytes, in proportion to their counts:
+    ``samples`` lines of twice that size, and of ``size`` bytes, at most. The
+    characters of a model are those that ``rare`` of all texts have, and
+    segments with others are left out. ``order`` is a key that spreads the rows.
+    """
+    counts = written(counted(documents, text, lang, order), "counts", "lang")
+    told = counts.where(F.col("kind") != "segment").collect()  # no more rows than there are characters
+    texts = {r["lang"]: r["n"] for r in told if r["kind"] == "texts"}
+    known = {code: frozenset(r["said"] for r in told if r["lang"] == code and r["kind"] == "character" and r["n"] >= rare * n) for code, n in texts.items()}
+
+    def most(code: str) -> DataFrame:
+        own = counts.where((F.col("kind") == "segment") & (F.col("lang") == code))
+        return own.where(F.translate("said", "".join(sorted(known[code])), "").rlike(r"^[\x00-\x7f]*$")).orderBy((F.col("n") * F.length("said")).desc(), "said").limit(DICTIONARY // 4)
+
+    out, room = {}, min(size, 2 * DICTIONARY)
+    for code in sorted(texts):
+        if made := _dictionary(_material([(r["said"], r["n"]) for r in most(code).select("said", "n").collect()], samples, room), DICTIONARY, 16):
+            out[code] = Model(made, known[code])
     return out
 
 

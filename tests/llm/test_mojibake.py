@@ -101,3 +101,21 @@ def test_a_first_step_of_any_rank_is_carried_on(monkeypatch, models):
     steps = {start: {c: start[: 30 + i] for i, c in enumerate(mb.CODECS)}, start[: 30 + last]: dict.fromkeys(mb.CODECS, "rätt")}
     monkeypatch.setattr(mb, "undo_utf8", lambda text, codec: steps.get(text, {}).get(codec, text))
     assert mb.Restorer(models).restore(start, "sv") == ("rätt", 2)
+
+
+def test_models_come_from_all_texts(spark):
+    """Every undamaged text is counted, however few samples are written and whatever keys the texts have; damaged ones aren't."""
+    texts = [f"{SV[i % 3]} Nummer {i} är årets ö{i}." for i in range(400)] + ["Ärm", f"{'lång' * 30} slut"]
+    docs = lambda start: spark.createDataFrame([(start + i, t, "sv") for i, t in enumerate(texts)] + [(-1, garble(SV[0], "cp1252"), "sv"), (-2, "f\ufffdr", "sv"), (-3, SV[0], "xx")], "doc_id long, text string, lang string")
+    got = {(r["kind"], r["said"]): r["n"] for r in mb.counted(docs(0), "text", "lang", "doc_id").collect()}
+    assert got["texts", ""] == 402 and got["character", "ö"] == 400 and got["character", "Ä"] == 1 and ("character", "Ã") not in got
+    assert got["segment", "är"] == sum(t.split().count("är") for t in texts) and got["segment", "är årets"] == 400 and all(got["segment", f"årets ö{i}."] == 1 for i in range(400))
+    assert got["segment", ("lång" * 16)] == 1 and got["segment", "lång" * 14] == 1
+    assert mb.language_models(docs(0), "text", "lang", "doc_id", samples=50) == mb.language_models(docs(7919), "text", "lang", "doc_id", samples=50) != {}
+
+
+def test_material_has_segments_as_often_as_counted():
+    lines = mb._material([("färgen på", 60), ("tröja", 40)], 1000, 4000)
+    assert b"".join(lines).count("färgen på ".encode("latin-1")) == 60 and b"".join(lines).count("tröja ".encode("latin-1")) == 40
+    assert mb._material([("färgen", 10**9), ("på", 1)], 9, 5000) and mb._material([("ord", 10**9)], 9, 300) == [] == mb._material([], 9, 5000)
+    assert sum(map(len, mb._material([(f"ord{i}", 10**6) for i in range(9999)], 50, 20_000))) <= 20_000
